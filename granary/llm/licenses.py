@@ -146,19 +146,19 @@ def _sql() -> str:
     """The same scan in SQL; templates are written out as word lists."""
     rows = ", ".join("('{}', {})".format(name, re.sub(NOT_WORD, " ", text.lower()).split()) for name, text in sorted(TEMPLATES.items()))
     gram = lambda a, i: " || ' ' || ".join(f"{a}[{i} + {j}]" for j in range(K))
-    phrase = " UNION ALL ".join("SELECT doc_id, i - 1 AS at, '{}' AS label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) WHERE {}".format(label, " AND ".join(f"w[i + {j}] = '{x}'" for j, x in enumerate(p.split()))) for p, label in PHRASES)
+    phrase = " UNION ALL ".join("SELECT doc_id, i - 1 AS wpos, '{}' AS label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) WHERE {}".format(label, " AND ".join(f"w[i + {j}] = '{x}'" for j, x in enumerate(p.split()))) for p, label in PHRASES)
     return rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 t(template, w) AS (VALUES {rows}),
-tg AS (SELECT template, i - 1 AS at, len(w) - {K - 1} AS grams, {gram("w", "i")} AS g FROM (SELECT template, w, unnest(range(1, len(w) - {K - 2})) AS i FROM t)),
+tg AS (SELECT template, i - 1 AS tpos, len(w) - {K - 1} AS grams, {gram("w", "i")} AS g FROM (SELECT template, w, unnest(range(1, len(w) - {K - 2})) AS i FROM t)),
 dg AS (SELECT doc_id, i - 1 AS pos, {gram("w", "i")} AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - {K - 2}))) AS i FROM d)),
-hits AS (SELECT doc_id, template, pos - at AS diagonal, pos, at, grams FROM dg JOIN tg USING (g)),
+hits AS (SELECT doc_id, template, pos - tpos AS diagonal, pos, tpos, grams FROM dg JOIN tg USING (g)),
 diagonal AS (SELECT doc_id, template, diagonal, min(grams) AS grams, min(pos) AS first, max(pos) AS last FROM hits GROUP BY ALL),
 merged AS (SELECT *, sum(CASE WHEN diagonal - prev > {SLACK} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM (SELECT *, lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS prev FROM diagonal)),
-places AS (SELECT m.doc_id, m.template, m.span, count(DISTINCT h.at) AS n FROM merged m JOIN hits h USING (doc_id, template, diagonal) GROUP BY ALL),
+places AS (SELECT m.doc_id, m.template, m.span, count(DISTINCT h.tpos) AS n FROM merged m JOIN hits h USING (doc_id, template, diagonal) GROUP BY ALL),
 spans AS (SELECT doc_id, template, n / grams AS share FROM (SELECT doc_id, template, span, min(grams) AS grams, min(first) AS first, max(last) + {K - 1} AS last FROM merged GROUP BY ALL) JOIN places USING (doc_id, template, span) WHERE n / grams >= {MIN_SHARE} AND (n + {K - 1}) * 2 >= last - first + 1),
 base AS ({phrase}),
-b AS (SELECT doc_id, count(*) AS n_base, min(at) AS first_word, max(at) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id),
+b AS (SELECT doc_id, count(*) AS n_base, min(wpos) AS first_word, max(wpos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id),
 a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM base UNION SELECT doc_id, template FROM spans) GROUP BY doc_id),
 s AS (SELECT doc_id, max(share) AS score FROM spans GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
