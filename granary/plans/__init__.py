@@ -1,0 +1 @@
+"""Syntax trees to DataFrame plans."""
