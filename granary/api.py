@@ -12,7 +12,11 @@ __all__ = ["load_tsv", "open_table", "query"]
 
 
 def query(spark: SparkSession, source: str | DataFrame, sql: str) -> DataFrame:
-    """The result of one SELECT over a frame, a Parquet path or a view's name; nothing runs until it is used."""
+    """The result of one SELECT over a frame, a Parquet path or a view's name; nothing runs until it is used.
+
+    A name without slash, colon or ".parquet" is a view or a table of the catalog.
+    """
     if isinstance(source, str):
-        source = spark.table(source) if spark.catalog.tableExists(source) else open_table(spark, source)
+        is_path = "/" in source or ":" in source or source.endswith(".parquet")
+        source = open_table(spark, source) if is_path else spark.table(source)
     return plan(sql, source)
