@@ -41,21 +41,26 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 SHARE, MAX_LINKS = 0.25, 0.6
 
 
+def _tag(step: str) -> str:
+    return step.lstrip("!").partition(".")[0]
+
+
 def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
-    """(path, text, characters in links) of each block that has text. A step of a path is the tag, "!tag" if boilerplate."""
+    """(path, text, characters in links) of each block that has text. A step of a path is "tag" or "tag.class", after "!" if boilerplate."""
     stack: list[str] = []
     text: list[str] = []
     links = in_link = 0
     at, size = 0, len(page)
 
     def step(tag: str, attributes: str) -> str:
-        off = tag in BOILERPLATE_TAGS
+        off, kind = tag in BOILERPLATE_TAGS, ""
         for name, *values in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), (values[0] or values[1] or values[2]).lower()
             off |= name == "hidden" or name == "aria-hidden" and value == "true"
             off |= name == "style" and "display:none" in value.replace(" ", "")
+            kind = " ".join(value.split()) if name == "class" else kind
             off |= name in ("class", "id", "role") and not BOILERPLATE_WORDS.isdisjoint(re.split(r"[^a-z]+", value))
-        return "!" + tag if off else tag
+        return f"{'!' * off}{tag}.{kind}" if kind else "!" * off + tag
 
     def flush():
         nonlocal links
@@ -98,7 +103,7 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
                 if block := flush():
                     yield block
                 stack.append(mark)
-            elif closing and "!" + tag in stack[-1:]:
+            elif closing and stack and stack[-1][0] == "!" and _tag(stack[-1]) == tag:
                 if block := flush():
                     yield block
                 stack.pop()
@@ -108,11 +113,11 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
             yield block
         if closing:
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k].lstrip("!") == tag:
+                if _tag(stack[k]) == tag:
                     del stack[k:]
                     break
         elif tag not in VOID:
-            if stack and (stack[-1].lstrip("!") == "p" or stack[-1].lstrip("!") in CLOSED_BY.get(tag, ())):
+            if stack and (_tag(stack[-1]) == "p" or _tag(stack[-1]) in CLOSED_BY.get(tag, ())):
                 stack.pop()
             if not m[3].endswith("/"):
                 stack.append(step(tag, m[3]))
@@ -139,7 +144,7 @@ def main_text(page: str | None) -> str:
     usable = [k for k in usable if links[found[k][0]] <= MAX_LINKS * chars[found[k][0]]]
     if not usable:
         return ""
-    marked = [k for k in usable if not MAIN.isdisjoint(found[k][0])]
+    marked = [k for k in usable if not MAIN.isdisjoint(map(_tag, found[k][0]))]
     if marked:  # the page says where its article is: all of it counts, however short its parts
         return "\n\n".join(found[k][1] for k in marked)
     ratio = [math.sqrt(chars[p] / nodes[p] * (1 + marks[p] / nodes[p])) for p in (found[k][0] for k in usable)]

@@ -64,7 +64,7 @@ def address(text: Column) -> Column:
 
 
 def _scanner(rules: dict):
-    run_by = {f"{name}@{version}": (rank, name, f) for rank, (name, (version, f)) in enumerate(rules.items())}
+    run_by = {f"{name}@{version}": (rank, f) for rank, (name, (version, f)) in enumerate(rules.items())}
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -72,8 +72,8 @@ def _scanner(rules: dict):
             for text, todo in zip(b.column(1), b.column(2).to_pylist(), strict=True):
                 text, found = text.as_py(), []
                 for key in todo:
-                    rank, name, f = run_by[key]
-                    found += [{"start": s, "rank": rank, "rule": name, "end": e} for s, e in f(text)]
+                    rank, f = run_by[key]
+                    found += [{"start": s, "rank": rank, "rule": key, "end": e} for s, e in f(text)]
                 spans.append(found)
             kind = pa.list_(pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("rule", pa.string()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(spans, kind)], names=LEDGER.names)
@@ -106,7 +106,8 @@ def scan_versions(spark: SparkSession, versions: DataFrame, path_col: str, text_
     fresh = unseen.mapInArrow(_scanner(rules), LEDGER)
     ledger = ledger or shared_dir(spark) + "/ledger"
     fresh.write.mode("append").parquet(ledger)
-    current = F.filter("spans", lambda s: F.concat(s["rule"], F.lit("@"), F.element_at(F.create_map(*(F.lit(x) for n, (v, _) in rules.items() for x in (n, str(v)))), s["rule"])).isin(wanted))
+    # in the ledger a span's rule is name@version; the result has those of this run's versions, by name
+    current = F.transform(F.filter("spans", lambda s: s["rule"].isin(wanted)), lambda s: s.withField("rule", F.substring_index(s["rule"], "@", 1)))
     found = spark.read.schema(LEDGER).parquet(ledger).where(F.arrays_overlap("scanned", F.array(*map(F.lit, wanted))))
     found = found.select("blob", current.alias("spans")).where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
     return keys.join(found, "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))

@@ -1,0 +1,70 @@
+import os
+from collections import Counter
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from granary.llm import quality
+
+PROSE = "The house of the man and the dog is in the town, and it was on the hill to the north of a river that is for the people. " * 6
+
+
+def plain(text):
+    text = text or ""
+    words = [w for w in "".join(" " if c in " \t\n\x0b\x0c\r" else c for c in text).split(" ") if w]
+    windows = Counter(zip(words, words[1:], words[2:], strict=False))
+    covered = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
+
+
+@pytest.mark.parametrize("text", [None, "", "a", "a b c a b c", "x\ny\nx\n\n\n x", "a a a a a", "é ü ß | <b>", PROSE, "w " * 50000, "\x1c\x85 one"])
+def test_counts(text):
+    got = quality.judge(text.encode() if text is not None else None)
+    assert got[:5] == plain(text)
+    assert got[5] == (got[0] < 50 or 100 * got[4] > 50 * got[0])
+
+
+def test_verdicts():
+    import random
+
+    r = random.Random(2)
+    common = list(quality.COMMON["en"]) * 3
+    words = [r.choice(common) if r.random() < 0.35 else "".join(r.choice("aeinorstlh") for _ in range(r.randrange(3, 10))) for _ in range(400)]
+    prose = " ".join(words)
+    assert quality.judge(prose.encode())[6]
+    assert not quality.judge(" ".join(w + "***" for w in words).encode())[6]
+    assert not quality.judge(prose.upper().encode())[6]
+    assert not quality.judge(" ".join("".join(r.choice("aeinorstlh") for _ in range(6)) for _ in range(400)).encode())[6]
+
+
+def test_js_distance():
+    import numpy as np
+
+    assert quality.js_distance(np.array([1.0, 0.0]), np.array([0.0, 1.0])) == pytest.approx(1)
+    assert quality.js_distance(np.array([0.5, 0.5]), np.array([0.5, 0.5])) == 0
+
+
+def test_clashes_nulls_and_no_rows(spark):
+    docs = spark.createDataFrame([(1, PROSE, "x"), (None, None, "y"), (1, PROSE, "x")], "doc_id long, text string, kept string").withColumn("raw", F.lit(1)).withColumn("N_WORDS", F.lit("old"))
+    out = quality.assess(docs)
+    assert {"raw", "n_words", "kept"} <= set(out.columns) and "N_WORDS" not in out.columns
+    assert out.where("doc_id is null").select("n_words", "base_failed", "kept").collect()[0][:] == (0, True, False)
+    good = quality.keep_good(docs)
+    assert good.columns == docs.columns
+    assert quality.assess(docs.limit(0)).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the tables are not there")
+def test_labels(spark):
+    """Of the documents labelled good that pass the base rules, the histograms reject next to none; of the bad, most."""
+    d = "/root/testdata/sf0.01"
+    rows = quality.assess(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").select("quality", "base_failed", "kept").collect()
+    good = [r["kept"] for r in rows if r["quality"] == 1 and not r["base_failed"]]
+    bad = [r["kept"] for r in rows if r["quality"] == 0]
+    assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.2 * len(bad)
+
+
+def test_sql_parses():
+    assert duckdb.connect().execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)").execute(quality.SQL).fetchall() == []
