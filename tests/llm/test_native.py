@@ -167,7 +167,7 @@ def test_license_votes(spark):
 
 
 def test_decontamination(spark):
-    items = [(1, "Tom has 3 red apples and Tom gives Ann 12 of the green ones in the garden near the river."), (2, "the quick brown fox jumps over the lazy dog while nobody in the village looks at it at all"), (3, "five short words are here"), (4, None), (5, "")]
+    items = [(1, "Now Tom has 3 red apples and Tom gives Ann 12 of the green ones in the garden near the river."), (2, "the quick brown fox jumps over the lazy dog while nobody in the village looks at it at all"), (3, "five short words are here"), (4, None), (5, "")]
     filler = "some filler words that have nothing to do with any of it stand around the passage to hide it well "
     again = "We know Sue has 7 red apples and Sue gives Bob 40 of the green ones in the garden near the river."
     mixed_up = "We know Sue has 7 red apples and Joe gives Bob 40 of the green ones in the garden near the river."
@@ -190,13 +190,11 @@ def test_decontamination(spark):
     out = decontaminate.find(spark, df, bench)
     assert no_python(out)
     got = {(x["id"], x["item_id"]): x for x in out.collect()}
-    assert got.keys() == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 2), (7, 3), (None, 2)} or got.keys() == {(1, 1), (2, 1), (4, 2), (5, 2), (7, 3), (None, 2)} | ({(3, 1)} & got.keys())
-    assert got[1, 1]["matched_tokens"] == got[1, 1]["item_tokens"] == 20
+    assert got.keys() == {(1, 1), (2, 1), (4, 2), (5, 2), (7, 3), (None, 2)}  # 3 maps one name to two
+    assert got[1, 1]["matched_tokens"] == got[1, 1]["item_tokens"] == 21
     assert got[2, 1]["reparameterised"] and not got[1, 1]["reparameterised"]
-    if (3, 1) in got:  # the inconsistent windows are not counted: what is left has one mapping or none
-        assert got[3, 1]["matched_tokens"] < got[2, 1]["matched_tokens"]
     clean = decontaminate.drop_contaminated(spark, df.drop("__gone"), bench)
-    assert {x["doc_id"] for x in clean.collect()} <= {3, 6, 8, 9, 10}
+    assert {x["doc_id"] for x in clean.collect()} == {3, 6, 8, 9, 10}
     assert decontaminate.find(spark, df.limit(0), bench).count() == 0 == decontaminate.find(spark, df, bench.limit(0)).count()
 
 
