@@ -26,7 +26,10 @@ class Statement:
     prepare: Callable[[DataFrame], DataFrame] = lambda df: df
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = plan(self.sql, self.prepare(open_table(spark, f"{sf_dir}/{self.table}.parquet")))
+        return self.over(open_table(spark, f"{sf_dir}/{self.table}.parquet"))
+
+    def over(self, table: DataFrame) -> DataFrame:
+        out = plan(self.sql, self.prepare(table))
         return out.select(*(F.round(c, 6).alias(c) if c in self.rounded else F.col(f"`{c}`") for c in out.columns))
 
     def check(self) -> str:
