@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -40,7 +42,7 @@ _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir, which driver and executors see.
+    """A new folder name below spark.checkpoint.dir, which driver and executors see; one folder above it is the application's.
 
     Where the setting is absent, as in tests on one machine, a temporary folder stands in; a cluster
     without the setting is refused, since executors would not see each other's files.
@@ -49,8 +51,11 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = _local.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="granary-"))
-    return f"{base.rstrip('/')}/granary-{uuid.uuid4().hex}"
+        if "dir" not in _local:
+            _local["dir"] = tempfile.mkdtemp(prefix="granary-")
+            atexit.register(shutil.rmtree, _local["dir"], ignore_errors=True)
+        base = "file://" + _local["dir"]
+    return f"{base.rstrip('/')}/granary-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def materialise(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
