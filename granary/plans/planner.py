@@ -17,8 +17,8 @@ def plan(sql: str | Select, frame: DataFrame) -> DataFrame:
     scope = Scope(frame)
     items = [i for item in s.items for i in ([item] if item.expr is not None else [Item(Name(c), c) for c in frame.columns])]
     aliases: dict[str, Node] = {}
-    for i in items:
-        if i.alias is not None:
+    for i in s.items:
+        if i.expr is not None and i.alias is not None:
             aliases.setdefault(i.alias, i.expr)
 
     def resolved(n: Node) -> Node:

@@ -45,6 +45,7 @@ NUMBERS = [(1,), (2,), (3,), (4,), (5,)]
         ("a int", [(3,), (None,), (1,)], "SELECT a FROM t ORDER BY a DESC", [(3,), (1,), (None,)]),
         ("k int, s string", [(1, "b"), (2, "a"), (3, "c")], "SELECT s FROM t ORDER BY k DESC LIMIT 1 OFFSET 1", [("a",)]),
         ("a int, b int", [(1, 5), (2, 5)], "SELECT b AS a, COUNT(*) FROM t GROUP BY a", [(5, 2)]),
+        ("a int, b int", [(1, 9), (2, 5)], "SELECT *, b AS a FROM t ORDER BY a", [(2, 5, 5), (1, 9, 9)]),
         ("a int", [(1,), (1,), (2,)], "SELECT 1, COUNT(*) FROM t GROUP BY 1", [(1, 3)]),
         ("a int", [], "SELECT COUNT(*) FROM t GROUP BY 1", []),
         ("a int", [(4,), (4,)], "SELECT a, a - 1, a - 2, COUNT(*) FROM t GROUP BY a, a - 1, a - 2", [(4, 3, 2, 2)]),
