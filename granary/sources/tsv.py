@@ -3,8 +3,8 @@
 Fields are split at tabs, records at line feeds; one carriage return before the line feed is not data.
 There is no quoting. A field that is \\N is null; an empty field is an empty text, or null in a column of
 numbers. Types come from the whole file: int, then bigint, then double, then string, each the first that
-fits every field; an integer beyond 64 bits makes its column a string. One scan finds the types of all
-columns, one writes the table.
+fits every field; an integer beyond 64 bits makes its column a string. One scan finds the width, one the
+types of all columns, one writes the table.
 """
 
 from __future__ import annotations

@@ -79,3 +79,12 @@ def test_convert_overwrites(spark, file, tmp_path):
 
 def test_empty_file(spark, file):
     assert read_tsv(spark, file("")).columns == []
+
+
+def test_header_of_each_file(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for k in range(3):
+        (folder / f"{k}.tsv").write_bytes(f"id\tcity\n{k}\tBern\nid\tcity\n".encode())
+    got = sorted(tuple(r) for r in read_tsv(spark, str(folder), header=True).collect())
+    assert got == sorted([("0", "Bern"), ("1", "Bern"), ("2", "Bern"), *[("id", "city")] * 3])
