@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm._common import SPACES, ascii_lower, fresh, table
+from granary.llm._common import SPACES, ascii_lower, fresh, materialise, table
 
 MIN_CHARS, MIN_DOCS = 20, 3
+#: Keys with more than this part of all shared lines are hot; there can be no more than HOT_KEYS of them.
+HOT_KEYS = 4096
 
 
 def split_lines(text: Column) -> Column:
@@ -28,16 +30,24 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Lines are exploded with their keys as 128 bits of hash. Documents are counted per key in two steps: the
     first makes each (key, id) one row, dealt out by both, and only counts per key meet after that, already
-    summed in each task. A key that a third of all documents hold is one row on the right of the join back.
+    summed in each task. The lines are then joined to the shared keys in two ways: to the at most HOT_KEYS
+    keys that each hold more than a HOT_KEYS-th of the shared lines by broadcast, so that no task gets all
+    lines of such a key, and to the others by shuffling.
     """
     text = F.col(f"`{text_col}`")
     exploded = docs.select(F.col(f"`{id_col}`").alias("id"), _text_hash(text).alias("text_hash"), F.posexplode(split_lines(text)).alias("pos", "line"))
     key = line_key(F.col("line"))
     lines = exploded.withColumn("key", key).where(F.length("key") >= min_chars)
     lines = lines.select("id", "text_hash", "pos", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), "key").alias("k2"))
+    lines = materialise(spark := docs.sparkSession, lines, "lines")
     shared = lines.groupBy("k1", "k2", "id").agg(F.lit(1).alias("one")).groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("id").alias("holder"))
-    shared = shared.where(F.col("n") >= min_docs).select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), "holder")
-    gone = lines.join(shared, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2"))).where(~F.col("id").eqNullSafe(F.col("holder")))
+    shared = shared.where(F.col("n") >= min_docs).select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), "holder", "n")
+    shared = materialise(spark, shared, "shared")
+    most = (shared.agg(F.sum("n")).first()[0] or 0) / HOT_KEYS
+    hot = F.broadcast(shared.where(F.col("n") > most))
+    same = (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2"))
+    rest = lines.join(hot, same, "left_anti").join(shared.where(F.col("n") <= most), same)
+    gone = lines.join(hot, same).union(rest).where(~F.col("id").eqNullSafe(F.col("holder")))
     return gone.groupBy("id", "text_hash").agg(F.collect_set("pos").alias("positions"))
 
 
