@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm._common import table
+from granary.llm._common import materialise, table
 
 WINDOW, MIN_LITERALS = 8, 5
 #: A document is contaminated by an item if it holds this many of its tokens, or this share of them.
@@ -46,7 +46,7 @@ def canonical(parts: Column) -> Column:
     """Typed placeholders for numbers, units and names, other tokens in lower case."""
 
     def of(w: Column, i: Column) -> Column:
-        digit = lambda c: F.substring(c, 1, 1).rlike(r"\d")
+        digit = lambda c: (c >= "0") & (c < ":")  # noqa: E731  the bytes of tokens that start with a digit
         before = F.when(i > 0, F.get(parts, i - 1))
         return F.when(digit(w), NUMBER).when(F.lower(w).isin(UNITS) & F.coalesce(digit(before), F.lit(False)), UNIT).when(F.startswith(w, F.lit(_MARK)), NAME).otherwise(F.lower(w))
 
@@ -64,10 +64,11 @@ def _slots(c: Column) -> Column:
 
 def _template_hashes(parts: Column, size: int) -> Column:
     """array<struct<at, hash>> of the canonical windows with a placeholder and enough literals."""
-    least = min(MIN_LITERALS, size - 1)
-    all_ = F.transform(parts, lambda w, i: F.struct(i.alias("at"), F.xxhash64(F.lit("template"), w, *(F.get(parts, i + j) for j in range(1, size))).alias("hash"), F.size(F.filter(F.slice(parts, i + 1, size), _slots)).alias("slots")))
-    whole = F.slice(all_, 1, F.greatest(F.size(parts) - (size - 1), F.lit(0)))
-    return F.filter(whole, lambda x: (x["slots"] > 0) & (x["slots"] <= size - least))
+    least, last = min(MIN_LITERALS, size - 1), F.size(parts) - size
+    slots = F.filter(F.transform(parts, lambda w, i: F.when(_slots(w), i)), lambda i: i.isNotNull())
+    spans = F.transform(slots, lambda i: F.when((last >= 0) & (i <= last + (size - 1)), F.sequence(F.greatest(i - (size - 1), F.lit(0)), F.least(i, last))).otherwise(F.array().cast("array<int>")))
+    starts = F.filter(F.array_distinct(F.flatten(spans)), lambda i: F.size(F.filter(F.slice(parts, i + 1, size), _slots)) <= size - least)
+    return F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit("template"), *(F.get(parts, i + j) for j in range(size))).alias("hash")))
 
 
 def _has_slots(text: Column) -> Column:
@@ -105,9 +106,11 @@ def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str
         hits = _windows(source, size).join(there, (F.col("hash") == F.col("item_hash")) & (F.col("template") == F.col("item_template")))
         hits = hits.select("id", "item_id", "item_tokens", "at", (F.col("pos") - F.col("at")).alias("diagonal"), "template", F.lit(size).alias("size"))
         matched = hits if matched is None else matched.union(hits)
+    matched = materialise(spark, matched, "matches")
     plain = matched.where(~F.col("template")).groupBy("id", "item_id").agg(F.max("item_tokens").alias("item_tokens"), F.collect_set(F.struct("at", "size")).alias("windows"), F.lit(False).alias("template"))
     form = matched.where("template").groupBy("id", "item_id", "diagonal").agg(F.max("item_tokens").alias("item_tokens"), F.collect_set(F.struct("at", "size")).alias("windows"))
-    form = _consistent(form, source, items).groupBy("id", "item_id").agg(F.max("item_tokens").alias("item_tokens"), F.array_distinct(F.flatten(F.collect_list("windows"))).alias("windows"), F.lit(True).alias("template"))
+    # a table of its own, whose size is known when the join below is planned
+    form = _consistent(materialise(spark, form, "templates"), source, items).groupBy("id", "item_id").agg(F.max("item_tokens").alias("item_tokens"), F.array_distinct(F.flatten(F.collect_list("windows"))).alias("windows"), F.lit(True).alias("template"))
     both = plain.union(form).groupBy("id", "item_id").agg(F.max("item_tokens").alias("item_tokens"), F.flatten(F.collect_list("windows")).alias("windows"), F.flatten(F.collect_list(F.when(~F.col("template"), F.col("windows")))).alias("plain"))
     held = lambda c: F.size(F.array_distinct(F.flatten(F.transform(c, lambda w: F.sequence(w["at"], w["at"] + w["size"] - 1)))))
     both = both.select("id", "item_id", held("windows").alias("matched_tokens"), "item_tokens", (held("windows") > held("plain")).alias("reparameterised"))
