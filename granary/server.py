@@ -11,9 +11,10 @@ import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from granary.plans.planner import plan
+from granary.session import session
 from granary.sources.tables import describe, open_table, table_name, type_name
 from granary.sources.tsv import convert
 from granary.sql.errors import SqlError
@@ -110,7 +111,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--header", action="store_true", help="the TSV's first line names the columns")
     p.add_argument("--column-names", help="comma-separated")
     args = p.parse_args(argv)
-    spark = SparkSession.builder.appName("granary").getOrCreate()
+    spark = session()
     if args.tsv and not os.path.exists(os.path.join(args.data_dir, "_SUCCESS")):
         convert(spark, args.tsv, args.data_dir, args.header, args.column_names.split(",") if args.column_names else None)
     with make_server(open_table(spark, args.data_dir), table_name(args.data_dir), args.port) as server:
