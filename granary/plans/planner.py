@@ -29,7 +29,10 @@ def plan(sql: str | Select, frame: DataFrame) -> DataFrame:
     having = resolved(s.having) if s.having is not None else None
     if s.where is not None:
         frame = frame.where(Expressions(scope).predicate(s.where))
-    exprs = [i.expr for i in items]
+    # output names come from the items as written, values from the items with sums shared
+    exprs = [_shared_sums(i.expr, scope) for i in items]
+    having = _shared_sums(having, scope) if having is not None else None
+    order = [(_shared_sums(n, scope), down) for n, down in order]
     if group or having is not None or any(map(holds_aggregate, [*exprs, *(n for n, _ in order)])):
         frame, build = _grouped(frame, scope, group, [*exprs, *([having] if having is not None else []), *(n for n, _ in order)])
     else:
@@ -43,7 +46,7 @@ def plan(sql: str | Select, frame: DataFrame) -> DataFrame:
         frame = frame.offset(s.offset)
     if s.limit is not None:
         frame = frame.limit(s.limit)
-    return frame.select(*(build(i.expr).column.alias(i.alias if i.alias is not None else default_name(i.expr)) for i in items))
+    return frame.select(*(build(e).column.alias(i.alias if i.alias is not None else default_name(i.expr)) for e, i in zip(exprs, items, strict=True)))
 
 
 def _grouped(frame: DataFrame, scope: Scope, group: tuple[Node, ...], roots: list[Node]) -> tuple[DataFrame, Expressions]:
@@ -62,7 +65,7 @@ def _grouped(frame: DataFrame, scope: Scope, group: tuple[Node, ...], roots: lis
     keys = {_canonical(n, scope): f"k{j}" for j, n in enumerate(base)}
     calls = list(dict.fromkeys(_canonical(c, scope) for r in roots for c in _aggregates(r)))
     names = {c: f"a{j}" for j, c in enumerate(calls)}
-    typed = {c: _aggregate(c, rows, scope) for c in calls}
+    typed = {c: _aggregate(c, rows) for c in calls}
     columns = [rows(n).column.alias(keys[_canonical(n, scope)]) for n in base]
     if group and not columns:
         columns = [F.lit(1).alias("k")]
@@ -101,7 +104,7 @@ def _aggregates(n: Node) -> list[Call]:
     return [n] if is_aggregate(n) else [c for x in n.children() for c in _aggregates(x)]
 
 
-def _aggregate(c: Call, rows: Expressions, scope: Scope) -> Typed:
+def _aggregate(c: Call, rows: Expressions) -> Typed:
     if c.star:
         if c.name != "count":
             raise SqlError(f"{c.name}(*) is not supported")
@@ -121,10 +124,6 @@ def _aggregate(c: Call, rows: Expressions, scope: Scope) -> Typed:
         return Typed(F.call_function("avg", t.column) if not c.distinct else _avg_distinct(t), "double")
     if c.distinct:
         return Typed(F.sum_distinct(t.column.cast("bigint" if t.kind == "int" else "double")), t.kind)
-    if (shift := _shifted(x, rows)) is not None:
-        # sum(col + k) of integers is sum(col) + k * count(col): many such sums share two aggregates
-        column, by = shift
-        return Typed(F.sum(column.cast("bigint")) + F.lit(by).cast("bigint") * F.count(column), "int")
     return Typed(F.sum(t.column.cast("bigint") if t.kind == "int" else t.column), t.kind)
 
 
@@ -133,14 +132,11 @@ def _avg_distinct(t: Typed):
     return total / F.nullif(F.count_distinct(t.column), F.lit(0))
 
 
-def _shifted(n: Node, rows: Expressions):
+def _shared_sums(n: Node, scope: Scope) -> Node:
+    """sum(col + k) of integers as sum(col) + k * count(col): many such sums share two aggregates."""
     match n:
-        case Binary("PLUS" | "MINUS" as op, Name() as name, Literal("int", k)):
-            pass
-        case Binary("PLUS" as op, Literal("int", k), Name() as name):
-            pass
-        case _:
-            return None
-    t = rows(name)
-    return (t.column, k if op == "PLUS" else -k) if t.kind == "int" else None
-
+        case Call("sum", (Binary("PLUS" | "MINUS" as op, Name() as name, Literal("int", k)),), False) if scope.column(name.name).kind == "int":
+            return Binary(op, Call("sum", (name,)), Binary("MUL", Literal("int", k), Call("count", (name,))))
+        case Call("sum", (Binary("PLUS", Literal("int", k), Name() as name),), False) if scope.column(name.name).kind == "int":
+            return Binary("PLUS", Call("sum", (name,)), Binary("MUL", Literal("int", k), Call("count", (name,))))
+    return n.map(lambda x: _shared_sums(x, scope))
