@@ -30,7 +30,7 @@ class Statement:
 
     def over(self, table: DataFrame) -> DataFrame:
         out = plan(self.sql, self.prepare(table))
-        return out.select(*(F.round(c, 6).alias(c) if c in self.rounded else F.col(f"`{c}`") for c in out.columns))
+        return out if not self.rounded else out.select(*(F.round(c, 6).alias(c) if c in self.rounded else F.col(f"`{c}`") for c in out.columns))
 
     def check(self) -> str:
         if self.oracle:

@@ -25,9 +25,18 @@ ARITHMETIC = {"PLUS": lambda a, b: a + b, "MINUS": lambda a, b: a - b, "MUL": la
 
 @dataclass(frozen=True)
 class Typed:
+    """wide: an int that is 64 bits already."""
+
     column: Column
     kind: str
     literal: Literal | None = None
+    wide: bool = False
+
+    def as_number(self, kind: str) -> Column:
+        """The column as 64-bit integers (kind int) or doubles."""
+        if kind == "int":
+            return self.column if self.wide else dialect.long(self.column)
+        return self.column.cast("double")
 
 
 def kind_of(t: T.DataType) -> str:
@@ -64,7 +73,7 @@ class Scope:
     def column(self, name: str) -> Typed:
         f = self.find(name)
         c, kind = F.col("`" + f.name.replace("`", "``") + "`"), kind_of(f.dataType)
-        return Typed(c.cast("double") if isinstance(f.dataType, T.DecimalType) else c, kind)
+        return Typed(c.cast("double") if isinstance(f.dataType, T.DecimalType) else c, kind, wide=isinstance(f.dataType, T.LongType))
 
 
 class Expressions:
@@ -88,14 +97,14 @@ class Expressions:
             case Literal("null", _):
                 return Typed(F.lit(None).cast("bigint"), "int", n)
             case Literal("int", v):
-                return Typed(F.lit(v).cast("bigint"), "int", n)
+                return Typed(F.lit(v).cast("bigint"), "int", n, wide=True)
             case Literal(kind, v):
                 return Typed(F.lit(v), kind, n)
             case Name(name):
                 return self.scope.column(name)
             case Unary("NEG", x):
                 t = self.numeric(x)
-                return Typed(-dialect.long(t.column) if t.kind == "int" else -t.column, t.kind)
+                return Typed(-t.as_number(t.kind), t.kind, wide=t.kind == "int")
             case Unary("NOT", x):
                 return Typed(~self.predicate(x), "bool")
             case Binary("AND", a, b):
@@ -162,12 +171,12 @@ class Expressions:
     @staticmethod
     def arithmetic(op: str, a: Typed, b: Typed) -> Typed:
         kind = "int" if a.kind == b.kind == "int" else "double"
+        wide = kind == "int"
         if op == "DIV":
-            return Typed((dialect.int_divide if kind == "int" else dialect.divide)(a.column, b.column), kind)
-        to = "bigint" if kind == "int" else "double"
+            return Typed((dialect.int_divide if wide else dialect.divide)(a.column, b.column), kind, wide=wide)
         if op == "MOD":
-            return Typed(dialect.remainder(a.column, b.column, to), kind)
-        return Typed(ARITHMETIC[op](a.column.cast(to), b.column.cast(to)), kind)
+            return Typed(dialect.remainder(a.column, b.column, "bigint" if wide else "double"), kind, wide=wide)
+        return Typed(ARITHMETIC[op](a.as_number(kind), b.as_number(kind)), kind, wide=wide)
 
     def case(self, whens: tuple, otherwise: Node | None) -> Typed:
         tests = [self.predicate(t) for t, _ in whens]

@@ -76,14 +76,15 @@ def _grouped(frame: DataFrame, scope: Scope, group: tuple[Node, ...], roots: lis
         out = frame.select(*columns).distinct()
     else:
         out = frame.groupBy(*columns).agg(*aggregates)
-    kinds = {k: rows(n).kind for n in base for k in [_canonical(n, scope)]}
+    answers = {c: Typed(F.col(name), typed[c].kind, wide=typed[c].wide) for c, name in names.items()}
+    for n in base:
+        t = rows(n)
+        answers[_canonical(n, scope)] = Typed(F.col(keys[_canonical(n, scope)]), t.kind, wide=t.wide)
 
     def special(n: Node) -> Typed | None:
         c = _canonical(n, scope)
-        if c in keys:
-            return Typed(F.col(keys[c]), kinds[c])
-        if c in names:
-            return Typed(F.col(names[c]), typed[c].kind)
+        if c in answers:
+            return answers[c]
         if isinstance(n, Name):
             raise SqlError(f"column {n.name!r} is neither grouped nor aggregated")
         return None
@@ -108,7 +109,7 @@ def _aggregate(c: Call, rows: Expressions) -> Typed:
     if c.star:
         if c.name != "count":
             raise SqlError(f"{c.name}(*) is not supported")
-        return Typed(F.count(F.lit(1)), "int")
+        return Typed(F.count(F.lit(1)), "int", wide=True)
     if len(c.args) != 1:
         raise SqlError(f"{c.name} takes one argument")
     x = c.args[0]
@@ -116,15 +117,15 @@ def _aggregate(c: Call, rows: Expressions) -> Typed:
         raise SqlError(f"nested aggregate: {default_name(c)}")
     t = rows(x)
     if c.name == "count":
-        return Typed(F.count_distinct(t.column) if c.distinct else F.count(t.column), "int")
+        return Typed(F.count_distinct(t.column) if c.distinct else F.count(t.column), "int", wide=True)
     if c.name in ("min", "max"):
-        return Typed((F.min if c.name == "min" else F.max)(t.column), t.kind)
+        return Typed((F.min if c.name == "min" else F.max)(t.column), t.kind, wide=t.wide)
     rows.numeric(x)
     if c.name == "avg":
         return Typed(F.call_function("avg", t.column) if not c.distinct else _avg_distinct(t), "double")
     if c.distinct:
-        return Typed(F.sum_distinct(t.column.cast("bigint" if t.kind == "int" else "double")), t.kind)
-    return Typed(F.sum(t.column.cast("bigint") if t.kind == "int" else t.column), t.kind)
+        return Typed(F.sum_distinct(t.as_number(t.kind)), t.kind, wide=t.kind == "int")
+    return Typed(F.sum(t.as_number(t.kind)), t.kind, wide=t.kind == "int")
 
 
 def _avg_distinct(t: Typed):
