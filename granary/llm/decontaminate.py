@@ -3,9 +3,9 @@
 Texts become sequences of tokens (words and numbers). Besides its tokens in lower case, a text has a
 canonical form in which numbers, units after numbers, and names (capitalised words inside a sentence) are
 typed placeholders. Windows of `WINDOW` tokens are hashed and joined to those of the benchmark: plain
-windows, and canonical windows that hold a placeholder and enough literal words. A canonical match is
-verified along its diagonal: placeholders must map benchmark values to document values one to one, as in
-a question asked anew with other numbers and names. DataFrame functions only.
+windows, and all canonical windows that hold a placeholder. A canonical match is verified along its
+diagonal: its windows together must hold enough literal words, and placeholders must map benchmark values to
+document values one to one, as in a question asked anew with other numbers and names. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from granary.llm._common import materialise, table
 
+#: Tokens in a window; literals that a canonical match holds, or all of an item that has fewer.
 WINDOW, MIN_LITERALS = 8, 5
 #: A document is contaminated by an item if it holds this many of its tokens, or this share of them.
 MIN_TOKENS, MIN_SHARE = 13, 0.5
@@ -63,12 +64,11 @@ def _slots(c: Column) -> Column:
 
 
 def _template_hashes(parts: Column, size: int) -> Column:
-    """array<struct<at, hash>> of the canonical windows with a placeholder and enough literals."""
-    least, last = min(MIN_LITERALS, size - 1), F.size(parts) - size
+    """array<struct<at, hash>> of the canonical windows with a placeholder."""
+    last = F.size(parts) - size
     slots = F.filter(F.transform(parts, lambda w, i: F.when(_slots(w), i)), lambda i: i.isNotNull())
     spans = F.transform(slots, lambda i: F.when((last >= 0) & (i <= last + (size - 1)), F.sequence(F.greatest(i - (size - 1), F.lit(0)), F.least(i, last))).otherwise(F.array().cast("array<int>")))
-    starts = F.filter(F.array_distinct(F.flatten(spans)), lambda i: F.size(F.filter(F.slice(parts, i + 1, size), _slots)) <= size - least)
-    return F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit("template"), *(F.get(parts, i + j) for j in range(size))).alias("hash")))
+    return F.transform(F.array_distinct(F.flatten(spans)), lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit("template"), *(F.get(parts, i + j) for j in range(size))).alias("hash")))
 
 
 def _has_slots(text: Column) -> Column:
@@ -118,19 +118,35 @@ def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str
 
 
 def _consistent(form: DataFrame, source: DataFrame, items: DataFrame) -> DataFrame:
-    """The template matches (id, item_id, diagonal, windows) whose placeholders map values one to one."""
+    """The template matches (id, item_id, diagonal, windows) with enough literals whose placeholders map values one to one.
+
+    Where a diagonal's windows do not all agree, as when other numbers follow a copy, those that hold enough
+    literals on their own must.
+    """
     texts = source.where(_has_slots(F.col("text"))).select(F.col("id").alias("of"), marked(F.col("text")).alias("theirs"))
     wanted = items.select(F.col("item_id").alias("item"), marked(F.col("text")).alias("ours"))
     both = form.join(texts, F.col("id").eqNullSafe(F.col("of"))).join(wanted, F.col("item_id").eqNullSafe(F.col("item")))
     both = both.withColumn("kinds", canonical(F.col("ours")))
-    places = F.array_distinct(F.flatten(F.transform("windows", lambda w: F.sequence(w["at"], w["at"] + w["size"] - 1))))
     kinds = F.col("kinds")
+    literals = lambda c: F.size(F.filter(c, lambda w: ~_slots(w)))
+    own = F.filter("windows", lambda w: literals(F.slice(kinds, w["at"] + 1, w["size"])) >= F.least(F.lit(MIN_LITERALS), w["size"] - 1))
     value = lambda parts, i: F.lower(F.get(parts, i))
-    pairs = F.array_distinct(F.transform(F.filter(places, lambda i: _slots(F.get(kinds, i))), lambda i: F.struct(F.get(kinds, i).alias("kind"), value(F.col("ours"), i).alias("a"), value(F.col("theirs"), i + F.col("diagonal").cast("int")).alias("b"))))
-    both = both.withColumn("pairs", pairs)
-    ours = F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["a"]))))
-    theirs = F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["b"]))))
-    return both.where((ours == F.size("pairs")) & (theirs == F.size("pairs"))).select("id", "item_id", "item_tokens", "windows")
+    both = both.withColumn("own", own)
+    for name, of in (("all_places", "windows"), ("own_places", "own")):
+        both = both.withColumn(name, F.array_distinct(F.flatten(F.transform(of, lambda w: F.sequence(w["at"], w["at"] + w["size"] - 1)))))
+
+    def pairs(places: str) -> Column:
+        return F.array_distinct(F.transform(F.filter(places, lambda i: _slots(F.get(kinds, i))), lambda i: F.struct(F.get(kinds, i).alias("kind"), value(F.col("ours"), i).alias("a"), value(F.col("theirs"), i + F.col("diagonal").cast("int")).alias("b"))))
+
+    def one_to_one(pairs: str) -> Column:
+        ours = F.size(F.array_distinct(F.transform(pairs, lambda p: F.struct(p["kind"], p["a"]))))
+        theirs = F.size(F.array_distinct(F.transform(pairs, lambda p: F.struct(p["kind"], p["b"]))))
+        return (ours == F.size(pairs)) & (theirs == F.size(pairs))
+
+    both = both.withColumn("all_pairs", pairs("all_places")).withColumn("own_pairs", pairs("own_places"))
+    enough = literals(F.transform("all_places", lambda i: F.get(kinds, i))) >= F.greatest(F.least(F.lit(MIN_LITERALS), literals(kinds)), F.lit(1))
+    agreed = F.when(enough & one_to_one("all_pairs"), F.col("windows")).when((F.size("own") > 0) & one_to_one("own_pairs"), F.col("own"))
+    return both.select("id", "item_id", "item_tokens", agreed.alias("windows")).where("windows is not null")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -222,3 +222,22 @@ def test_decontamination_equals_brute_force(spark):
                 expected[d, k] = len(held)
     out = decontaminate.find(spark, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(x["id"], x["item_id"]): x["matched_tokens"] for x in out.collect()} == expected and len(expected) > 20
+
+
+def test_decontamination_of_dense_numbers(spark):
+    """Items in which no window holds five literals, and short ones, asked anew with other numbers."""
+    items = [(1, "A train travels 60 miles in 2 hours and 90 miles in 3 hours. How far?"), (2, "What is 17 plus 25"), (3, "1 2 3 4 5 6 7 8 9 10 11 12 13"), (4, "Add 5 and 9 to 14")]
+    filler = "some filler words that have nothing to do with any of it stand around the passage "
+    docs = [
+        (1, filler + "a train travels 45 miles in 4 hours and 75 miles in 5 hours. How far? " + filler),
+        (2, filler + "what is 3 plus 8 " + filler),
+        (3, filler + "a train travels 45 miles in 4 hours and 45 miles in 5 hours. How far? " + filler),  # one number for two
+        (4, " ".join(str(k * 7) for k in range(1, 40))),
+        (5, filler + "add 7 and 8 to 15 " + "16 17 18 " + filler),
+        (6, filler + "what is 3 minus 8 " + filler),
+    ]
+    out = decontaminate.find(spark, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert no_python(out)
+    got = {(x["id"], x["item_id"]): x for x in out.collect()}
+    assert got.keys() == {(1, 1), (2, 2), (5, 4)}
+    assert got[1, 1]["matched_tokens"] == 16 and all(x["reparameterised"] for x in got.values())
