@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from granary.llm._common import table
 
 _MARKUP = re.compile(r"""<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^<>]*\Z""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _CHARS = re.compile(r"[.,;:!?…。、]")
 
 # How HTML tags behave, and words that mark what is not the article.
@@ -33,34 +33,52 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style noscript template iframe object svg math canvas textarea select title head video audio".split())
 BOILERPLATE_TAGS = set("nav header footer aside form menu button dialog fieldset".split())
 BOILERPLATE_WORDS = set("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent footer header menu nav navbar navigation newsletter notice popup promo related share sharing sidebar social sponsor sponsored subscribe widget complementary contentinfo search".split())
-MAIN = {"article", "main"}
+MAIN, ROOT = {"article", "main"}, {"html", "body"}
 #: Starting one of these ends an open paragraph; starting a key ends an open element of its set.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-#: Share of the best container's score that content has, and the largest share of link text.
+#: Share of the best container's mean score that content has, and the largest share of link text of a container.
 SHARE, MAX_LINKS = 0.25, 0.6
 
 
 def _tag(step: str) -> str:
-    return step.lstrip("!").partition(".")[0]
+    return step.lstrip("!?").partition(".")[0]
 
 
-def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
-    """(path, text, characters in links) of each block that has text. A step of a path is "tag" or "tag.class", after "!" if boilerplate."""
-    stack: list[str] = []
+def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
+    """(path, text, characters in links) of each block that has text. A step of a path is "tag" or "tag.class", after "!" if boilerplate.
+
+    An element around a main tag, or around all article tags, is no boilerplate by its class, id or role.
+    """
+    found, mains = [], []
+    for path, text, links in _blocks(page, mains):
+        found.append((path, text, links))
+    outer = {n for n, _ in mains[0][1]} if mains else set()
+    for _, around in mains:
+        outer &= {n for n, _ in around}
+    for tag, around in mains:
+        outer |= {n for n, _ in around} if tag == "main" else set()
+    clear = lambda n, step: (step[1:] if n in outer else "!" + step[1:]) if step[0] == "?" else step
+    return [(tuple(clear(n, step) for n, step in path), text, links) for path, text, links in found]
+
+
+def _blocks(page: str, mains: list) -> Iterator[tuple[tuple[tuple[int, str], ...], str, int]]:
+    """The same with numbered steps, "?" before those that are boilerplate by class, id or role; adds (tag, path) of article and main tags to mains."""
+    stack: list[tuple[int, str]] = []
     text: list[str] = []
     links = in_link = 0
     at, size = 0, len(page)
 
     def step(tag: str, attributes: str) -> str:
-        off, kind = tag in BOILERPLATE_TAGS, ""
+        off, named, kind = tag in BOILERPLATE_TAGS, False, ""
         for name, *values in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), (values[0] or values[1] or values[2]).lower()
             off |= name == "hidden" or name == "aria-hidden" and value == "true"
             off |= name == "style" and "display:none" in value.replace(" ", "")
             kind = " ".join(value.split()) if name == "class" else kind
-            off |= name in ("class", "id", "role") and not BOILERPLATE_WORDS.isdisjoint(re.split(r"[^a-z]+", value))
-        return f"{'!' * off}{tag}.{kind}" if kind else "!" * off + tag
+            named |= name in ("class", "id", "role") and any(BOILERPLATE_WORDS.issuperset(re.split(r"[-_]+", x)) for x in value.split())
+        mark = "!" if off else "?" if named and tag not in MAIN and tag not in ROOT else ""
+        return f"{mark}{tag}.{kind}" if kind else mark + tag
 
     def flush():
         nonlocal links
@@ -99,11 +117,11 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
                 in_link = 0 if closing else 1
             elif tag in ("br", "wbr"):
                 text.append(" " if tag == "br" else "")
-            elif not closing and (mark := step(tag, m[3])).startswith("!"):
+            elif not closing and (mark := step(tag, m[3])).startswith(("!", "?")):
                 if block := flush():
                     yield block
-                stack.append(mark)
-            elif closing and stack and stack[-1][0] == "!" and _tag(stack[-1]) == tag:
+                stack.append((at, mark))
+            elif closing and stack and stack[-1][1][0] in "!?" and _tag(stack[-1][1]) == tag:
                 if block := flush():
                     yield block
                 stack.pop()
@@ -113,14 +131,16 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
             yield block
         if closing:
             for k in range(len(stack) - 1, -1, -1):
-                if _tag(stack[k]) == tag:
+                if _tag(stack[k][1]) == tag:
                     del stack[k:]
                     break
         elif tag not in VOID:
-            if stack and (_tag(stack[-1]) == "p" or _tag(stack[-1]) in CLOSED_BY.get(tag, ())):
+            if stack and (_tag(stack[-1][1]) == "p" or _tag(stack[-1][1]) in CLOSED_BY.get(tag, ())):
                 stack.pop()
             if not m[3].endswith("/"):
-                stack.append(step(tag, m[3]))
+                if tag in MAIN:
+                    mains.append((tag, tuple(stack)))
+                stack.append((at, step(tag, m[3])))
     if block := flush():
         yield block
 

@@ -38,3 +38,8 @@ def test_long_page_and_frames(spark):
     assert out.count() == 4 and got[None]["n_chars"] == 0 and got[2]["n_chars"] == len(got[2]["text"])
     assert got[2]["text"].count("\n\n") == 19999
     assert extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page", ["<html class='menu-closed'><body class='no-sidebar'><div id='page' class='sticky-header'><article class='post share'>{}</article></div>", "<div data-hidden='false'><div data-url='/hidden-gems'>{}</div></div>", "<div class='share'><main>{}</main></div>", "<div title='class=ad'>{}</div>", "<div class='ad'>no</div><div class='share'><article>{}</article></div>", "<div class='cookie-notice'>We use cookies.</div><div class='post-with-sidebar'>{}</div>"])
+def test_layout_classes(page):
+    assert main_text(page.format("<p>Some words, here.</p>")) == "Some words, here."
