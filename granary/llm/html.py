@@ -28,9 +28,9 @@ _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 _CHARS = re.compile(r"[.,;:!?…。、]")
 
 # How HTML tags behave, and words that mark what is not the article.
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle merror mpadded msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe object svg math canvas textarea select title head video audio".split())
+RAW = set("script style noscript template iframe object svg annotation annotation-xml canvas textarea select title head video audio".split())
 BOILERPLATE_TAGS = set("nav header footer aside form menu button dialog fieldset".split())
 BOILERPLATE_WORDS = set("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent footer header menu nav navbar navigation newsletter notice popup promo related share sharing sidebar social sponsor sponsored subscribe widget complementary contentinfo search".split())
 MAIN, ROOT = {"article", "main"}, {"html", "body"}
@@ -161,12 +161,12 @@ def main_text(page: str | None) -> str:
         marks[path] += len(_CHARS.findall(text))
         links[path] += linked
         nodes[path] += 1
+    marked = [k for k in usable if not MAIN.isdisjoint(map(_tag, found[k][0]))]
+    if marked:  # the page says where its article is: all of it counts, however short or linked its parts
+        return "\n\n".join(found[k][1] for k in marked)
     usable = [k for k in usable if links[found[k][0]] <= MAX_LINKS * chars[found[k][0]]]
     if not usable:
         return ""
-    marked = [k for k in usable if not MAIN.isdisjoint(map(_tag, found[k][0]))]
-    if marked:  # the page says where its article is: all of it counts, however short its parts
-        return "\n\n".join(found[k][1] for k in marked)
     ratio = [math.sqrt(chars[p] / nodes[p] * (1 + marks[p] / nodes[p])) for p in (found[k][0] for k in usable)]
     smooth = [(ratio[max(k - 1, 0)] + 2 * ratio[k] + ratio[min(k + 1, len(ratio) - 1)]) / 4 for k in range(len(ratio))]
     score: dict[tuple, float] = defaultdict(float)

@@ -40,6 +40,15 @@ def test_long_page_and_frames(spark):
     assert extract(df.limit(0)).count() == 0
 
 
+LONG = "<p>" + "A sentence of the story, with a few words and marks. " * 6 + "</p>"
+
+
 @pytest.mark.parametrize("page", ["<html class='menu-closed'><body class='no-sidebar'><div id='page' class='sticky-header'><article class='post share'>{}</article></div>", "<div data-hidden='false'><div data-url='/hidden-gems'>{}</div></div>", "<div class='share'><main>{}</main></div>", "<div title='class=ad'>{}</div>", "<div class='ad'>no</div><div class='share'><article>{}</article></div>", "<div class='cookie-notice'>We use cookies.</div><div class='post-with-sidebar'>{}</div>"])
 def test_layout_classes(page):
     assert main_text(page.format("<p>Some words, here.</p>")) == "Some words, here."
+
+
+def test_links_and_math_of_an_article():
+    page = f"<article><h1><a href='/'>Title</a></h1>{LONG}<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p><ul><li><a href='a'>Source one</a></li><li><a href='b'>Source two</a></li></ul></article>"
+    got = main_text(page).split("\n\n")
+    assert got[0] == "Title" and got[2:] == ["Let x=2 hold.", "Source one", "Source two"]
