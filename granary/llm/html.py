@@ -147,33 +147,56 @@ def _blocks(page: str, mains: list) -> Iterator[tuple[tuple[tuple[int, str], ...
 
 def main_text(page: str | None) -> str:
     """Blocks of the main content in page order, joined by an empty line; null and empty pages have none."""
-    found = list(blocks(page or ""))
-    usable = [k for k, (path, _, _) in enumerate(found) if not any(x[0] == "!" for x in path)]
-    if not usable:
-        return ""
+    found = [b for b in blocks(page or "") if not any(x[0] == "!" for x in b[0])]
+    article = [text for path, text, _ in found if not MAIN.isdisjoint(map(_tag, path))]
+    if article:
+        return "\n\n".join(article)
     chars: dict[tuple, int] = defaultdict(int)
     marks: dict[tuple, int] = defaultdict(int)
     links: dict[tuple, int] = defaultdict(int)
     nodes: dict[tuple, int] = defaultdict(int)
-    for k in usable:
-        path, text, linked = found[k]
-        chars[path] += len(text)
+    for path, text, linked in found:
+        for key in {path, ("", *_container(path))}:  # a container's sums are kept after an empty step
+            chars[key] += len(text)
+            links[key] += linked
+            nodes[key] += 1
         marks[path] += len(_CHARS.findall(text))
-        links[path] += linked
-        nodes[path] += 1
-    marked = [k for k in usable if not MAIN.isdisjoint(map(_tag, found[k][0]))]
-    if marked:  # the page says where its article is: all of it counts, however short or linked its parts
-        return "\n\n".join(found[k][1] for k in marked)
-    usable = [k for k in usable if links[found[k][0]] <= MAX_LINKS * chars[found[k][0]]]
-    if not usable:
-        return ""
-    ratio = [math.sqrt(chars[p] / nodes[p] * (1 + marks[p] / nodes[p])) for p in (found[k][0] for k in usable)]
+    ratio = [math.sqrt((chars[p] - links[p]) / nodes[p] * (1 + marks[p] / nodes[p])) for p, _, _ in found]
     smooth = [(ratio[max(k - 1, 0)] + 2 * ratio[k] + ratio[min(k + 1, len(ratio) - 1)]) / 4 for k in range(len(ratio))]
     score: dict[tuple, float] = defaultdict(float)
-    for k, s in zip(usable, smooth, strict=True):
-        score[_container(found[k][0])] += s
-    least = SHARE * max(score.values())
-    return "\n\n".join(found[k][1] for k in usable if score[_container(found[k][0])] >= least)
+    for (path, _, _), s in zip(found, smooth, strict=True):
+        score[_container(path)] += s
+    linked = {c for c in score if links["", *c] > MAX_LINKS * chars["", *c]}
+    free = [c for c in score if c not in linked]
+    if not free:
+        return ""
+    mean = {c: score[c] / nodes["", *c] for c in free}
+    best = max(free, key=lambda c: score[c])
+    marked = _marked(best)
+    own: dict[tuple, float] = defaultdict(float)
+    for (path, _, _), r in zip(found, ratio, strict=True):
+        own[_container(path)] += r
+    # around the best container the smoothed mean counts, as for titles; elsewhere a neighbour alone must not lift a container
+    around = {c for c in free if c == best[: len(c)]}
+    chosen = {c for c in free if mean[c] >= SHARE * mean[best] and (c in around or own[c] / nodes["", *c] >= SHARE * mean[best])}
+    if marked:  # the page says where its article is, and the scores agree: what is outside is not part of it
+        chosen = {c for c in chosen if _marked(c)}
+    whole = (chosen - around) | {marked or best}
+
+    def content(path: tuple[str, ...]) -> bool:
+        c = _container(path)
+        if c in chosen or path == marked:
+            return True
+        inside = [path[:k] for k in range(len(path) + 1) if path[:k] in whole]
+        # a page's own text says little of the lists of links that the page holds
+        return any(x and _tag(x[-1]) not in ROOT for x in inside) or bool(inside) and c not in linked
+
+    return "\n\n".join(text for path, text, _ in found if content(path))
+
+
+def _marked(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The path down to its outermost article or main tag; empty without one."""
+    return next((path[: k + 1] for k, x in enumerate(path) if _tag(x) in MAIN), ())
 
 
 def _container(path: tuple[str, ...]) -> tuple[str, ...]:

@@ -52,3 +52,10 @@ def test_links_and_math_of_an_article():
     page = f"<article><h1><a href='/'>Title</a></h1>{LONG}<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p><ul><li><a href='a'>Source one</a></li><li><a href='b'>Source two</a></li></ul></article>"
     got = main_text(page).split("\n\n")
     assert got[0] == "Title" and got[2:] == ["Let x=2 hold.", "Source one", "Source two"]
+
+
+def test_nested_parts_of_a_long_story():
+    items = "".join(f"<li>Item {k}, of a list that is part of the story.</li>" for k in range(10))
+    page = f"<body><div class='top'><div>Home</div></div><div class='story'>{LONG * 40}<ul>{items}</ul><blockquote><p>A quote, short.</p></blockquote><table><tr><td>cell</td></tr></table></div><div class='legal'>All rights.</div></body>"
+    got = main_text(page)
+    assert got.count("Item ") == 10 and "A quote" in got and "cell" in got and "Home" not in got and "All rights" not in got
