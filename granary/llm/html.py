@@ -2,10 +2,11 @@
 
 A page is read into blocks: runs of text between block tags, each with its tag path from the root to the
 leaf (inline tags are transparent). For every path, text length, punctuation and link text are summed over
-its blocks; text and punctuation per block, smoothed over the neighbouring blocks of the page, are fused to
-one score. A container (the path without its leaf) gets the sum of its blocks' scores, and the containers
-whose score reaches a share of the best are content, with all blocks in them. Paths through boilerplate
-tags, classes or roles, and paths that are mostly links, never are.
+its blocks; text outside links and punctuation per block, smoothed over the neighbouring blocks of the page,
+are fused to one score. A container (the path without its leaf) is content if the mean score of its blocks
+reaches a share of the best container's, which is the one with the largest sum; so is all that is nested in
+it. Containers that are mostly links are not chosen. Where the best container lies in an article or main
+tag, that tag's bounds are the content's. Paths through boilerplate tags, classes or roles never are content.
 """
 
 from __future__ import annotations
@@ -148,9 +149,6 @@ def _blocks(page: str, mains: list) -> Iterator[tuple[tuple[tuple[int, str], ...
 def main_text(page: str | None) -> str:
     """Blocks of the main content in page order, joined by an empty line; null and empty pages have none."""
     found = [b for b in blocks(page or "") if not any(x[0] == "!" for x in b[0])]
-    article = [text for path, text, _ in found if not MAIN.isdisjoint(map(_tag, path))]
-    if article:
-        return "\n\n".join(article)
     chars: dict[tuple, int] = defaultdict(int)
     marks: dict[tuple, int] = defaultdict(int)
     links: dict[tuple, int] = defaultdict(int)

@@ -43,6 +43,12 @@ def test_long_page_and_frames(spark):
 LONG = "<p>" + "A sentence of the story, with a few words and marks. " * 6 + "</p>"
 
 
+def test_story_in_div_beside_article_teasers():
+    teasers = "".join(f"<article><h3><a href='/{k}'>Teaser {k}</a></h3><p>Read it.</p></article>" for k in range(5))
+    got = main_text(f"<body><div class='story'>{LONG * 8}</div><div class='more'>{teasers}</div></body>")
+    assert got.count("A sentence of the story") == 48 and "Teaser" not in got
+
+
 @pytest.mark.parametrize("page", ["<html class='menu-closed'><body class='no-sidebar'><div id='page' class='sticky-header'><article class='post share'>{}</article></div>", "<div data-hidden='false'><div data-url='/hidden-gems'>{}</div></div>", "<div class='share'><main>{}</main></div>", "<div title='class=ad'>{}</div>", "<div class='ad'>no</div><div class='share'><article>{}</article></div>", "<div class='cookie-notice'>We use cookies.</div><div class='post-with-sidebar'>{}</div>"])
 def test_layout_classes(page):
     assert main_text(page.format("<p>Some words, here.</p>")) == "Some words, here."
