@@ -1,7 +1,13 @@
+import math
+import random
+import re
+import time
+from html.parser import HTMLParser
+
 import pytest
 from pyspark.sql import functions as F
 
-from granary.llm.html import extract, main_text
+from granary.llm.html import BOILERPLATE_TAGS, BOILERPLATE_WORDS, MAX_LINKS, SHARE, extract, main_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header>Site</header><nav><ul><li><a href="/a">menu</a></li></ul></nav><!-- ad --><div class="ad">Buy this, now.</div>
@@ -65,3 +71,110 @@ def test_nested_parts_of_a_long_story():
     page = f"<body><div class='top'><div>Home</div></div><div class='story'>{LONG * 40}<ul>{items}</ul><blockquote><p>A quote, short.</p></blockquote><table><tr><td>cell</td></tr></table></div><div class='legal'>All rights.</div></body>"
     got = main_text(page)
     assert got.count("Item ") == 10 and "A quote" in got and "cell" in got and "Home" not in got and "All rights" not in got
+
+
+class _Slow(HTMLParser):
+    """Blocks of a page whose block tags are all closed, with whole paths of (number, tag, class, kind of boilerplate)."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.path, self.n, self.found, self.mains, self.text, self.link, self.links = [], 0, [], [], "", 0, 0
+        self.feed(page)
+        self.flush()
+
+    def flush(self):
+        if self.text.split():
+            self.found.append((tuple(self.path), " ".join(self.text.split()), min(self.links, len(" ".join(self.text.split())))))
+        self.text, self.links = "", 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            self.link = 1
+            return
+        self.flush()
+        a, self.n = dict(attrs), self.n + 1
+        words = [w for k in ("class", "id") for w in (a.get(k) or "").split()]
+        kind = "!" if tag in BOILERPLATE_TAGS else "?" if tag not in ("article", "main", "html", "body") and BOILERPLATE_WORDS & set(words) else ""
+        if tag in ("article", "main"):
+            self.mains.append((tag, {x[0] for x in self.path}))
+        self.path.append((self.n, tag, a.get("class") or "", kind))
+
+    def handle_endtag(self, tag):
+        if tag == "a":
+            self.link = 0
+            return
+        self.flush()
+        self.path.pop()
+
+    def handle_data(self, data):
+        self.text += data
+        self.links += len(data) * self.link
+
+
+def slow_text(page):
+    """The module's definition, word by word, over whole paths."""
+    s = _Slow(page)
+    outer = set.intersection(*(x for _, x in s.mains)) if s.mains else set()
+    outer = outer.union(*(x for tag, x in s.mains if tag == "main"))
+    rows = [(tuple(x[1:3] for x in path), text, links) for path, text, links in s.found if not any(x[3] == "!" or x[3] == "?" and x[0] not in outer for x in path)]
+    box = lambda p: p[:-1] or p
+    share = lambda rs: sum(r[2] for r in rs) <= MAX_LINKS * sum(len(r[1]) for r in rs)
+    raw = []
+    for p, _, _ in rows:
+        same = [r for r in rows if r[0] == p]
+        n, marks = len(same), sum(sum(r[1].count(c) for c in ".,;:!?") for r in same)
+        raw.append(math.sqrt(sum(len(r[1]) - r[2] for r in same) / n * (1 + marks / n)))
+    smooth = [(raw[max(k - 1, 0)] + 2 * x + raw[min(k + 1, len(raw) - 1)]) / 4 for k, x in enumerate(raw)]
+    boxes = list(dict.fromkeys(box(p) for p, _, _ in rows))
+    free = [c for c in boxes if share([r for r in rows if box(r[0]) == c])]
+    if not free:
+        return ""
+    total = lambda c, xs: sum(x for r, x in zip(rows, xs, strict=True) if box(r[0]) == c)
+    mean = lambda c, xs: total(c, xs) / sum(box(r[0]) == c for r in rows)
+    best = max(free, key=lambda c: total(c, smooth))
+    inside = lambda p: next((p[: k + 1] for k, x in enumerate(p) if x[0] in ("article", "main")), ())
+    least = SHARE * mean(best, smooth)
+    chosen = {c for c in free if mean(c, smooth) >= least and (c == best[: len(c)] or mean(c, raw) >= least) and (not inside(best) or inside(c))}
+    whole = {c for c in chosen if c != best[: len(c)]} | {inside(best) or best}
+
+    def content(p):
+        around = [p[:k] for k in range(len(p) + 1) if p[:k] in whole]
+        return box(p) in chosen or inside(best) != () and p == inside(best) or any(a and a[-1][0] not in ("html", "body") for a in around) or bool(around) and box(p) in free
+
+    return "\n\n".join(text for p, text, _ in rows if content(p))
+
+
+def random_page(rng):
+    words = lambda n: " ".join(rng.choice(["rain", "river,", "stone.", "light", "over", "when;", "north"]) for _ in range(n))
+
+    def part(depth):
+        kind = rng.random()
+        if depth > 3 or kind < 0.5:
+            return f"<{(t := rng.choice(['p', 'p', 'h2', 'li']))}>{words(rng.choice([1, 4, 30, 60]))}</{t}>"
+        if kind < 0.6:
+            return "<ul>" + "".join(f"<li><a href='x'>{words(3)}</a></li>" for _ in range(rng.randint(1, 5))) + "</ul>"
+        tag = rng.choice(["div", "div", "section", "article", "aside", "blockquote", "main"])
+        of = rng.choice(["", "", " class='story'", " class='related'", " id='share'", " class='card share-x'"])
+        return f"<{tag}{of}>" + "".join(part(depth + 1) for _ in range(rng.randint(1, 5))) + rng.choice(["", words(2)]) + f"</{tag}>"
+
+    return "<html><body>" + "".join(part(0) for _ in range(rng.randint(1, 6))) + "</body></html>"
+
+
+def test_against_brute_force():
+    rng = random.Random(5)
+    pages = [random_page(rng) for _ in range(600)]
+    assert all(main_text(p) == slow_text(p) for p in pages)
+    assert sum("<article" in p for p in pages) > 100 and sum("<article" not in p and "<main" not in p for p in pages) > 100
+    assert sum(0 < len(main_text(p)) < len(re.sub("<.*?>", "", p)) * 0.8 for p in pages) > 200
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 50_000, "<div>x" * 50_000 + "</p>" * 50_000, "<a " * 100_000, "<a \"'>x" * 50_000, "<head>" * 50_000, "<p class='" * 50_000, "<li>" * 50_000 + "x"])
+def test_time_grows_with_length_only(page):
+    began = time.perf_counter()
+    main_text(page)
+    assert time.perf_counter() - began < 10
+
+
+def test_wrappers_with_boilerplate_words_keep_the_story():
+    for wrap in ("<body class='has-sidebar'>", "<body class='page no-header'><article>", "<article class='post has-comments'>", "<main id='search-results'>", "<div class='social-science'>", "<html class='ad-free'>", "<section id='notice-of-award'>"):
+        assert main_text(f"{wrap}<p>A story, with words.</p>") == "A story, with words."
