@@ -19,25 +19,31 @@ from pyspark.sql import types as T
 
 from granary.llm._common import fresh, table
 
-# Approximate frequencies of common words, per language.
+# The commonest words of English with their counts in the Brown corpus of 1,014,312 words (Kucera and
+# Francis, 1967), and of Spanish with their frequencies per million in the CREA corpus (Real Academia Espanola).
+BROWN = {"the": 69971, "of": 36411, "and": 28852, "to": 26149, "a": 23237, "in": 21341, "that": 10595, "is": 10099, "was": 9816, "he": 9543, "for": 9489, "it": 8756, "with": 7289, "as": 7250, "his": 6997, "on": 6742, "be": 6377, "at": 5378, "by": 5305, "i": 5173}
+CREA = {"de": 65546, "la": 41149, "que": 30689, "el": 29953, "en": 27755, "y": 27401, "a": 21375, "los": 17165, "se": 13257, "del": 12174, "las": 11056, "un": 10880, "por": 10238, "con": 9712, "no": 9606, "una": 8833, "su": 7234, "para": 6962, "es": 6684, "al": 6234}
+# The commonest words of French and German in the order of the Leipzig word lists. Their frequencies
+# follow from the order by the rule of Zipf and Mandelbrot, 0.1 / (rank + 2.7).
+FRENCH = "de la le et les des en un du une que est pour qui dans a par plus pas au".split()
+GERMAN = "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als".split()
 COMMON = {
-    "en": {"the": 0.060, "of": 0.032, "and": 0.026, "to": 0.020, "a": 0.016, "in": 0.014, "is": 0.011, "that": 0.010, "it": 0.009, "for": 0.008, "was": 0.007, "on": 0.007, "with": 0.006, "as": 0.006, "be": 0.005, "by": 0.005, "are": 0.005, "this": 0.005, "at": 0.004, "from": 0.004},
-    "fr": {"de": 0.060, "la": 0.032, "le": 0.025, "et": 0.019, "les": 0.016, "en": 0.014, "des": 0.012, "un": 0.010, "du": 0.009, "une": 0.008, "que": 0.008, "est": 0.007, "pour": 0.006, "par": 0.006, "dans": 0.006, "avec": 0.005, "qui": 0.005, "pas": 0.005, "sur": 0.004, "au": 0.004},
-    "de": {"der": 0.060, "die": 0.032, "und": 0.026, "in": 0.019, "den": 0.014, "von": 0.012, "zu": 0.011, "das": 0.010, "sich": 0.009, "mit": 0.008, "des": 0.008, "auf": 0.007, "für": 0.007, "ist": 0.006, "im": 0.006, "nicht": 0.005, "dem": 0.005, "ein": 0.005, "eine": 0.004, "als": 0.004},
-    "es": {"de": 0.060, "la": 0.032, "que": 0.025, "el": 0.019, "en": 0.016, "y": 0.013, "los": 0.011, "las": 0.010, "se": 0.009, "del": 0.008, "un": 0.007, "por": 0.007, "con": 0.006, "no": 0.006, "una": 0.005, "su": 0.005, "para": 0.005, "es": 0.005, "al": 0.004, "lo": 0.004},
+    "en": {w: n / 1014312 for w, n in BROWN.items()},
+    "fr": {w: 0.1 / (r + 2.7) for r, w in enumerate(FRENCH, 1)},
+    "de": {w: 0.1 / (r + 2.7) for r, w in enumerate(GERMAN, 1)},
+    "es": {w: n / 1e6 for w, n in CREA.items()},
 }
-# Approximate shares of character classes in the words of running text.
+# The share of letters beyond ASCII among the letters of running text, summed from the tables of letter
+# frequencies of each language; and, for all languages alike, the approximate shares of capitals among letters and of
+# letters, digits, punctuation marks and symbols among the characters of words.
+ACCENTED = {"en": 0.0, "fr": 0.0283, "de": 0.0232, "es": 0.0298}
+CAPITALS, LETTERS, DIGITS, PUNCTUATION, OTHERS = 0.03, 0.95, 0.005, 0.044, 0.001
 CLASSES = ("lower", "upper", "other", "digit", "mark", "symbol")
-SHARES = {
-    "en": (0.950, 0.018, 0.001, 0.004, 0.026, 0.001),
-    "fr": (0.870, 0.015, 0.085, 0.004, 0.025, 0.001),
-    "de": (0.900, 0.020, 0.050, 0.004, 0.025, 0.001),
-    "es": (0.910, 0.018, 0.042, 0.004, 0.025, 0.001),
-}
+SHARES = {lang: (LETTERS * (1 - a) * (1 - CAPITALS), LETTERS * (1 - a) * CAPITALS, LETTERS * a, DIGITS, PUNCTUATION, OTHERS) for lang, a in ACCENTED.items()}
 SYMBOLS = "#*$%&|<>"
 MARKS = ".,;:!?'\"()-"
 #: Largest distances of a document that is kept, and the fewest words that a comparison takes.
-MAX_CLASS, MIN_CLASS_WORDS = 0.27, 50
+MAX_CLASS, MIN_CLASS_WORDS = 0.24, 100
 MAX_WORDS, MIN_COMMON_WORDS = 0.30, 100
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -97,22 +103,23 @@ def judge(text: bytes | None) -> tuple:
 
 
 def divergence_ok(words: list[bytes], hist: np.ndarray) -> bool:
-    n = len(words)
-    if n >= MIN_CLASS_WORDS:
-        classes = _CLASS_BYTES @ hist
-        if classes.sum() and min(js_distance(classes / classes.sum(), np.array(q)) for q in SHARES.values()) > MAX_CLASS:
-            return False
-    if n >= MIN_COMMON_WORDS:
-        seen: Counter = Counter()
-        for w, k in Counter(words).items():
-            if (w := w.strip(MARKS.encode()).lower()) in _VOCABULARY:
-                seen[w] += k
-        nearest = 1.0
-        for ws, q in _COMMON.values():
-            p = np.array([seen[w] for w in ws], float)
-            nearest = min(nearest, js_distance(np.append(p, n - p.sum()) / n, q))
-        return nearest <= MAX_WORDS
-    return True
+    """Whether one language's references are near enough in every comparison that the text is long enough for."""
+    n, near = len(words), set(SHARES)
+    classes = _CLASS_BYTES @ hist
+    if n >= MIN_CLASS_WORDS and classes.sum():
+        near = {lang for lang, q in SHARES.items() if js_distance(classes / classes.sum(), np.array(q)) <= MAX_CLASS}
+    if n < MIN_COMMON_WORDS or not near:
+        return bool(near)
+    seen: Counter = Counter()
+    for w, k in Counter(words).items():
+        if (w := w.strip(MARKS.encode()).lower()) in _VOCABULARY:
+            seen[w] += k
+
+    def distance(lang: str) -> float:
+        p = np.array([seen[w] for w in _COMMON[lang][0]], float)
+        return js_distance(np.append(p, n - p.sum()) / n, _COMMON[lang][1])
+
+    return any(distance(lang) <= MAX_WORDS for lang in near)
 
 
 def assess(docs: DataFrame, text_col: str = "text", names: dict[str, str] | None = None) -> DataFrame:
@@ -139,7 +146,7 @@ def assess(docs: DataFrame, text_col: str = "text", names: dict[str, str] | None
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs that the rules keep, columns unchanged."""
+    """The rows of docs that the rules keep, columns unchanged, whatever their names; null and empty texts go, repeated rows stay or go alike."""
     names: dict[str, str] = {}
     for c in COLUMNS:
         names[c] = fresh([*docs.columns, *names.values()], c)
@@ -147,6 +154,7 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict for each row of `documents`."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return assess(docs).select("doc_id", *COLUMNS)
 
@@ -170,16 +178,17 @@ base AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_
 counts AS (SELECT doc_id, {count("[a-z]")} AS lower, {count("[A-Z]")} AS upper, {count(r"[^\x00-\x7F]")} AS other, {count("[0-9]")} AS digit, {count(marks)} AS mark, {count(r"[\x21-\x7F]")} AS printable FROM d),
 c AS (SELECT doc_id, lower::DOUBLE AS lower, upper::DOUBLE AS upper, other::DOUBLE AS other, digit::DOUBLE AS digit, mark::DOUBLE AS mark, (printable - lower - upper - digit - mark)::DOUBLE AS symbol, nullif(printable + other, 0)::DOUBLE AS total FROM counts),
 s(lang, {", ".join(CLASSES)}) AS (VALUES {shares}),
-near_class AS (SELECT doc_id, min(sqrt(greatest(0, {classes}) / 2)) AS v FROM c, s GROUP BY doc_id),
+near_class AS (SELECT doc_id, lang, sqrt(greatest(0, {classes}) / 2) AS v FROM c, s),
 ref(lang, w, q) AS (VALUES {words}),
 rest(lang, q) AS (VALUES {rest}),
 seen AS (SELECT doc_id, lower(regexp_replace(regexp_replace(x, '^{marks}+', ''), '{marks}+$', '')) AS w, count(*) AS k FROM (SELECT doc_id, unnest(w) AS x FROM d) GROUP BY ALL),
 hits AS (SELECT b.doc_id, ref.lang, ref.q, coalesce(seen.k, 0) / b.n_words AS p FROM (SELECT * FROM base WHERE n_words >= {MIN_COMMON_WORDS}) b CROSS JOIN ref LEFT JOIN seen ON seen.doc_id = b.doc_id AND seen.w = ref.w),
 by_lang AS (SELECT doc_id, lang, sum({term("p", "q")}) AS v, greatest(0, 1 - sum(p)) AS p FROM hits GROUP BY doc_id, lang),
-near_words AS (SELECT doc_id, min(sqrt(greatest(0, v + {term("p", "q")}) / 2)) AS v FROM (SELECT b.doc_id, b.v, b.p, rest.q FROM by_lang b JOIN rest USING (lang)) GROUP BY doc_id),
+near_words AS (SELECT doc_id, lang, sqrt(greatest(0, v + {term("p", "q")}) / 2) AS v FROM (SELECT b.doc_id, lang, b.v, b.p, rest.q FROM by_lang b JOIN rest USING (lang))),
+fits AS (SELECT nc.doc_id, bool_or((b.n_words < {MIN_CLASS_WORDS} OR coalesce(nc.v, 0) <= {MAX_CLASS}) AND coalesce(nw.v, 0) <= {MAX_WORDS}) AS ok FROM near_class nc JOIN base b USING (doc_id) LEFT JOIN near_words nw USING (doc_id, lang) GROUP BY nc.doc_id),
 failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
-SELECT f.*, NOT base_failed AND coalesce(nc.v, 0) <= {MAX_CLASS} AND coalesce(nw.v, 0) <= {MAX_WORDS} AS kept
-FROM failed f LEFT JOIN near_class nc USING (doc_id) LEFT JOIN near_words nw USING (doc_id)"""
+SELECT f.*, NOT base_failed AND ok AS kept
+FROM failed f JOIN fits USING (doc_id)"""
 
 
 SQL = _sql()
