@@ -193,7 +193,8 @@ def test_decontamination(spark):
     assert got.keys() == {(1, 1), (2, 1), (4, 2), (5, 2), (7, 3), (None, 2)}  # 3 maps one name to two
     assert got[1, 1]["matched_tokens"] == got[1, 1]["item_tokens"] == 21
     assert got[2, 1]["reparameterised"] and not got[1, 1]["reparameterised"]
-    clean = decontaminate.drop_contaminated(spark, df.drop("__gone"), bench)
+    clean = decontaminate.drop_contaminated(spark, df.withColumn("gone", F.lit(2)), bench)
+    assert clean.columns == [*df.columns, "gone"]
     assert {x["doc_id"] for x in clean.collect()} == {3, 6, 8, 9, 10}
     assert decontaminate.find(spark, df.limit(0), bench).count() == 0 == decontaminate.find(spark, df, bench.limit(0)).count()
 
@@ -231,7 +232,7 @@ def test_decontamination_of_dense_numbers(spark):
     docs = [
         (1, filler + "a train travels 45 miles in 4 hours and 75 miles in 5 hours. How far? " + filler),
         (2, filler + "what is 3 plus 8 " + filler),
-        (3, filler + "a train travels 45 miles in 4 hours and 45 miles in 5 hours. How far? " + filler),  # one number for two
+        (3, filler + "a train travels 45 miles in 4 hours and 45 miles in 5 hours. How far? " + filler),  # one number for two is a copy
         (4, " ".join(str(k * 7) for k in range(1, 40))),
         (5, filler + "add 7 and 8 to 15 " + "16 17 18 " + filler),
         (6, filler + "what is 3 minus 8 " + filler),
@@ -239,5 +240,103 @@ def test_decontamination_of_dense_numbers(spark):
     out = decontaminate.find(spark, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert no_python(out)
     got = {(x["id"], x["item_id"]): x for x in out.collect()}
-    assert got.keys() == {(1, 1), (2, 2), (5, 4)}
+    assert got.keys() == {(1, 1), (2, 2), (3, 1), (5, 4)}
     assert got[1, 1]["matched_tokens"] == 16 and all(x["reparameterised"] for x in got.values())
+
+
+NAMES = "Anna Bruno Clara Dario Emma Felix Greta Hugo Ida Jonas Karla Leo Mina Nora Oskar Paula".split()
+WORDS = [a + b + c for a in "ba do fi gu le mo ra ti ke pu sa ve wo hi ny".split() for b in "r lan st ven x dd mor p ch gn".split() for c in "a en ing o us el y ish er and".split()]
+
+
+def question(r):
+    """A worded problem of random shape as literal words and slots; equal slots stand for equal values."""
+    parts, word = [], lambda: r.choice(WORDS)
+    for _ in range(r.randrange(2, 5)):
+        parts += ["while", ("name", r.randrange(3)), word(), ("number", r.randrange(4)), word(), word(), "for", ("number", r.randrange(4)), r.choice(["dollars", "days", "hours"]), "at the", word()]
+    return [*parts, "how", "many", word(), "are", word(), "in the", word()]
+
+
+def worded(r, parts):
+    names, numbers = r.sample(NAMES, 3), r.sample(range(2, 900), 4)
+    return " ".join(x if isinstance(x, str) else names[x[1]] if x[0] == "name" else str(numbers[x[1]]) for x in parts)
+
+
+def test_decontamination_finds_questions_asked_anew(spark):
+    """Recall on 600 re-parameterised items, none of which is left of 13 plain tokens, and precision on 600 other questions."""
+    r = random.Random(31)
+    shapes = [question(r) for _ in range(600)]
+    items = [(k, worded(r, p)) for k, p in enumerate(shapes)]
+    filler = "text that stands before and after the passage "
+    docs = [(k, filler + worded(r, p) + ". " + filler) for k, p in enumerate(shapes)]
+    docs += [(1000 + k, filler + worded(r, question(r)) + ". " + filler) for k in range(600)]
+    out = decontaminate.find(spark, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(x["id"], x["item_id"]) for x in out}
+    recall = sum((k, k) in found for k in range(600)) / 600
+    assert recall >= 0.9 and all(x["reparameterised"] for x in out if x["id"] == x["item_id"])
+    assert sum(d >= 1000 for d, _ in found) <= 6
+
+
+def test_decontamination_templates_equal_brute_force(spark):
+    """Numbers are the only placeholders: windows that agree but for them, one value of the text for each of the item's."""
+    r = random.Random(8)
+    words = ["w" + x for x in "abcdefghijklmnopqrstuvwxyz"]
+    make = lambda n: [str(r.randrange(5)) if r.random() < 0.35 else r.choice(words) for _ in range(n)]
+    anew = lambda x: [str(r.randrange(5)) if c.isdigit() and r.random() < 0.3 else c for c in x]
+    items = [(k, make(r.randrange(4, 20))) for k in range(60)]
+    docs = [(k, [*make(10), *(anew(r.choice(items)[1]) if k % 2 else make(15)), *make(10)]) for k in range(300)]
+    form = lambda x: ["#" if c.isdigit() else c for c in x]
+    shape = lambda x: tuple(f"#{x.index(c)}" if c.isdigit() else c for c in x)
+    first = {}
+    for k, x in items:
+        first.setdefault(shape(x), k)
+    expected = {}
+    for d, t in docs:
+        for k, x in items:
+            n, size, held = len(x), min(8, len(x)), set()
+            plain = {i + j for i in range(n - size + 1) if any(t[p : p + size] == x[i : i + size] for p in range(len(t) - size + 1)) for j in range(size)}
+            for shift in range(-n, len(t)):
+                there = [t[i + shift] if 0 <= i + shift < len(t) else None for i in range(n)]
+                kinds = form(x)
+                same = [c is not None and form([c])[0] == q for c, q in zip(there, kinds, strict=True)]
+                windows = [a for a in range(n - size + 1) if all(same[a : a + size])]
+                mixed = [a for a in windows if {"#"} < set(kinds[a : a + size])]
+                if not mixed:
+                    continue
+                cover = lambda ws: {a + j for a in ws for j in range(size)}  # noqa: B023, E731
+                literals = lambda at: sum(kinds[i] != "#" for i in at)  # noqa: B023, E731
+                one = lambda at: all(len({there[i] for i in at if x[i] == v}) == 1 for v in {x[i] for i in at if kinds[i] == "#"})  # noqa: B023, E731
+                own = [a for a in windows if literals(range(a, a + size)) >= min(5, size - 1)]
+                part = set()
+                if literals(cover(windows)) >= max(1, min(5, literals(range(n)))) and one(cover(windows)):
+                    part = cover(windows)
+                elif own and one(cover(own)):
+                    part = cover(own)
+                if len(part) >= 13 or 2 * len(part) >= n:
+                    held |= part
+            if len(plain | held) >= 13 or 2 * len(plain | held) >= n:
+                key = d, first[shape(x)]
+                expected[key] = max(expected.get(key, 0), len(plain | held))
+    out = decontaminate.find(spark, spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string"), spark.createDataFrame([(k, " ".join(x)) for k, x in items], "item_id long, text string"))
+    assert {(x["id"], x["item_id"]): x["matched_tokens"] for x in out.collect()} == expected and len(expected) > 60
+
+
+def test_items_of_one_template_are_one_class(spark):
+    make = lambda a, b: f"We know that Tom has {a} red apples and gives {b} of the green ones to the boys near the river"
+    items = [(k, make(k, k + 1)) for k in range(2, 50)] + [(1, make(7, 7)), (60, make(5, 9)), (None, make(5, 8))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    classes = {x["item_id"]: x["class_id"] for x in decontaminate.item_classes(bench).collect()}
+    assert classes == {**{k: 2 for k in range(2, 50)}, 1: 1, 60: 2, None: 2}
+    docs = spark.createDataFrame([(1, "x " + make(3, 4)), (2, make(700, 900)), (3, make(8, 8)), (4, None)], "doc_id long, text string")
+    got = {(x["id"], x["item_id"]): x["reparameterised"] for x in decontaminate.find(spark, docs, bench).collect()}
+    assert got == {(1, 2): False, (2, 2): True, (3, 1): True, (3, 2): False}  # other members hold each of the eights
+
+
+def test_matches_are_verified_in_their_own_text(spark):
+    """Two texts of one id: the one that maps one name to two is not judged by the other."""
+    item = "Now Tom has 3 red apples and Tom gives Ann 12 of the green ones in the garden near the river"
+    wrong = "We know Sue has 7 red apples and Joe gives Bob 40 of the green ones in the garden near the river"
+    other = "an unrelated text about Kim and 4 birds"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for rows in ([(1, wrong)], [(1, wrong), (1, other)], [(1, other), (1, wrong), (1, wrong)]):
+        alone = decontaminate.find(spark, spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+        assert [x["matched_tokens"] for x in alone] in ([], [13], [14]) and len({tuple(x) for x in alone}) == len(alone)
