@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,16 +59,39 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/granary-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
+#: Folders that materialise() wrote, in order.
+_written: list[str] = []
+
+
 def materialise(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation."""
     path = f"{shared_dir(spark)}/{label}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a table that materialise() wrote and that nothing reads any more."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete the files of tables that materialise() wrote and that nothing reads any more."""
+    for folder in {f.rpartition("/")[0] for df in tables for f in df.inputFiles()}:
+        _delete(spark, folder)
+
+
+def settled(spark: SparkSession, build: Callable[[], DataFrame], label: str) -> DataFrame:
+    """What build() returns, written; every table that was materialised on the way there is deleted, as nothing needs it any more."""
+    began = len(_written)
+    out = materialise(spark, build(), label)
+    for folder in _written[began:-1]:
+        _delete(spark, folder)
+    del _written[began:-1]
+    return out

@@ -8,25 +8,28 @@ its rows, and joins the findings back to every path that holds the blob.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
-from granary.llm._common import materialise, shared_dir, table
+from granary.llm._common import exists, materialise, shared_dir, table
 
 # The patterns that must be found.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z]+ )*)PRIVATE KEY-----(?:(?:[A-Za-z0-9+/=\s:,]|-(?!-))*+-----END \1PRIVATE KEY-----)?")
+JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}")
 FORGE = re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}")
+#: Bits per character that a forge token's characters must have at least; made-up tokens of few characters have less.
+MIN_ENTROPY = 3.0
 
 
 def _assign(text: str) -> list[tuple[int, int]]:
@@ -40,6 +43,15 @@ def _access(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
 
 
+def _forge(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in FORGE.finditer(text) if entropy(m[0][4:]) >= MIN_ENTROPY]
+
+
+def entropy(text: str) -> float:
+    """Bits per character, by how often each character stands in the text."""
+    return -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values())
+
+
 def _plain(pattern: re.Pattern) -> Callable[[str], list[tuple[int, int]]]:
     return lambda text: [m.span() for m in pattern.finditer(text)]
 
@@ -49,9 +61,9 @@ RULES: dict[str, tuple[int, Callable[[str], list[tuple[int, int]]]]] = {
     "assign": (1, _assign),
     "access": (1, _access),
     "hex": (1, _plain(HEX)),
-    "pem": (1, _plain(PEM)),
-    "jwt": (1, _plain(JWT)),
-    "forge": (1, _plain(FORGE)),
+    "pem": (2, _plain(PEM)),
+    "jwt": (2, _plain(JWT)),
+    "forge": (2, _forge),
 }
 BASE = ("assign", "access", "hex")
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("rule", T.StringType()), T.StructField("end", T.LongType())]))
@@ -93,10 +105,7 @@ def scan_versions(spark: SparkSession, versions: DataFrame, path_col: str, text_
     wanted = [f"{name}@{version}" for name, (version, _) in rules.items()]
     source = versions.select(F.col(f"`{path_col}`").alias("path"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), address(F.col(f"`{text_col}`")).alias("blob"))
     keys = materialise(spark, source.select("path", "blob"), "versions")
-    try:
-        before = spark.read.schema(LEDGER).parquet(ledger) if ledger else None
-    except AnalysisException:
-        before = None
+    before = spark.read.schema(LEDGER).parquet(ledger) if ledger and exists(spark, ledger) else None
     todo = keys.groupBy("blob").agg(F.min("path").alias("at")).withColumn("todo", F.array(*map(F.lit, wanted)))
     if before is not None:
         seen = before.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("scanned"))).alias("seen"))
@@ -118,6 +127,7 @@ def listed(spans: Column) -> Column:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of secrets for each row of `documents`, over a ledger of its own."""
     found = scan_versions(spark, table(spark, sf_dir, "documents"), "doc_id", "text")
     of = lambda *rules: F.filter("spans", lambda s: s["rule"].isin(*rules))
     return found.select(

@@ -25,6 +25,8 @@ from granary.llm._components import components
 
 #: Cells of up to SHORT fingerprints are compared by offset for a whole batch at once; cells of over BLOCK are dealt out as pairs of blocks.
 SHORT, BLOCK = 24, 2048
+#: Dense cells up to this many are broadcast, at about 100 bytes each; more are joined by shuffling.
+BROADCAST_CELLS = 200_000
 
 
 def fingerprint(text: bytes | None, ngram: int, lanes: int) -> list[int]:
@@ -165,21 +167,24 @@ def _link_cells(lanes: int, radius: int):
 def near_links(spark: SparkSession, nodes: DataFrame, bits: int, radius: int, groups: int, reach: int) -> DataFrame:
     """Edges (u, v) whose components are those of all links found among nodes (id, f0, ...), ids and fingerprints unique.
 
-    A cell's links are given as a spanning forest, never as all pairs. A cell with over BLOCK fingerprints
-    is dealt out as pairs of hashed blocks to as many tasks.
+    A cell's links are given as a spanning forest, never as all pairs. Cells are counted first, summed in each
+    task; those with over BLOCK fingerprints, no more than there are cells over BLOCK, are dealt out as pairs of
+    hashed blocks to as many tasks, so that no task ever holds more than two blocks.
     """
     lanes = bits // 64
     names = [f"f{j}" for j in range(lanes)]
-    keyed = nodes.select(F.explode(F.array_compact(F.array(*_cells(lanes, groups, reach)))).alias("cell"), "id", *names)
-    keyed = keyed.withColumn("n", F.count("*").over(W.partitionBy("cell")))
+    cells = F.explode(F.array_compact(F.array(*_cells(lanes, groups, reach)))).alias("cell")
+    keyed = nodes.select(cells, "id", *names)
+    dense = materialise(spark, nodes.select(cells).groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select(F.col("cell").alias("of"), "n"), "dense")
+    small = dense.count() <= BROADCAST_CELLS
+    many = F.broadcast(dense) if small else dense
     schema = "u long, v long"
-    few = keyed.where((F.col("n") > 1) & (F.col("n") <= BLOCK)).select("cell", "id", *names).mapInArrow(_link_cells(lanes, radius), schema)
+    few = keyed.join(many, F.col("cell") == F.col("of"), "left_anti").repartition("cell").sortWithinPartitions("cell").mapInArrow(_link_cells(lanes, radius), schema)
     blocks = F.ceil(F.col("n") / BLOCK)
     own = F.pmod(F.xxhash64("id"), blocks)
-    many = keyed.where(F.col("n") > BLOCK).select("cell", own.alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("o"), "id", *names)
-    many = many.select("cell", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "id", *names)
-    many = many.repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi").mapInArrow(_link_cells(lanes, radius), schema)
-    return few.union(many)
+    dealt = keyed.join(many, F.col("cell") == F.col("of")).select("cell", own.alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("o"), "id", *names)
+    dealt = dealt.select("cell", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "id", *names)
+    return few.union(dealt.repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi").mapInArrow(_link_cells(lanes, radius), schema))
 
 
 def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 4, bits: int = 64, radius: int = 4, groups: int = 2, reach: int = 1) -> DataFrame:
@@ -201,19 +206,6 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four-word shingles, 64 bits, links at four or fewer differing bits."""
+    """Fingerprint and component of each row of `documents`: four-word shingles, 64 bits, links at four or fewer differing bits."""
     found = classes(spark, table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, bits: int = 512, radius: int = 86, groups: int = 32, reach: int = 0) -> DataFrame:
-    """Rows of docs, one of each group of near-duplicates: that with the smallest id.
-
-    Of 512 bits, 78 differ on average where two documents have 0.8 of their five-word shingles in common, give
-    or take 8. A pair at that similarity agrees in the bit counts of one of 32 groups with a probability of
-    0.93; README has the recall measured. Rows that
-    repeat an id and text are one document and stay or go together; rows without an id stay.
-    """
-    found = classes(spark, docs, id_col, text_col, ngram, bits, radius, groups, reach)
-    gone = found.where("component_id < id").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")

@@ -24,6 +24,10 @@ from granary.llm._common import materialise, shared_dir, table
 
 #: Payloads of fewer bytes are never revisits.
 MIN_REVISIT = 1000
+#: Digests of repeated payloads up to this many are broadcast, at about 100 bytes each; more are joined by shuffling.
+BROADCAST_DIGESTS = 500_000
+#: Bytes of archive that one task reads, about.
+TASK_BYTES = 64 << 20
 #: A file ends after ROLL bytes. One range request spans gaps of up to GAP bytes and SPAN bytes in all, or one record.
 ROLL, GAP, SPAN = 1 << 30, 64 << 10, 8 << 20
 DATE = "1970-01-01T00:00:00Z"
@@ -45,7 +49,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     """One WARC/1.1 record. A revisit has the HTTP headers alone, whose Content-Length tells the payload's size."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    uri = "urn:none" if url is None else url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+    uri = "urn:none" if url is None else "%75rn:none" if url == "urn:none" else url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
@@ -75,7 +79,7 @@ def parse_record(data: bytes) -> dict:
     if kind == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
         raise ValueError(f"payload of {fields['WARC-Record-ID']} does not match its digest")
     uri = fields["WARC-Target-URI"]
-    url = None if uri == "urn:none" else uri.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+    url = None if uri == "urn:none" else uri.replace("%75rn:none", "urn:none").replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
     return {"page_id": _from_urn(fields["WARC-Record-ID"]), "url": url, "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": _from_urn(fields.get("WARC-Refers-To")), "payload": payload}
 
 
@@ -85,14 +89,22 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, id_col: s
     Of equal payloads of min_revisit bytes or more, the row with the largest id is the response and the
     others revisit it; rows that repeat that id and payload are all responses. A null html is an empty
     payload; a null id is the smallest, and only null ids share its response. No rows give no archives.
-    Only digests and ids are counted per payload; the join back has one row per repeated digest on its
-    right, so that a payload with very many copies is split by adaptive execution.
+    Only digests and ids are counted per payload. Up to BROADCAST_DIGESTS repeated digests are broadcast, so that
+    no payload is shuffled. Beyond that the payloads are joined by digest, those too small to be revisited dealt
+    out by a hash of their rows instead; the join has one row per repeated digest on its right, so that a payload with very
+    many copies is split by adaptive execution.
     """
-    payload = F.coalesce(F.col(f"`{html_col}`"), F.lit("")).cast("binary")
-    source = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    large = source.where(F.length("payload") >= min_revisit)
-    copies = large.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("again"), "first")
-    rows = source.join(copies, F.col("digest") == F.col("again"), "left").select("page_id", "url", "payload", "digest", "first", (F.col("again").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"))
+    html = F.coalesce(F.col(f"`{html_col}`"), F.lit("")).cast("binary")
+    source = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), html.alias("payload"), F.unhex(F.sha1(html)).alias("digest"))
+    small = F.octet_length("payload") < min_revisit
+    copies = source.where(~small).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("again"), "first")
+    copies = materialise(spark, copies, "copies")
+    if copies.count() <= BROADCAST_DIGESTS:
+        rows = source.join(F.broadcast(copies), (F.col("digest") == F.col("again")) & ~small, "left")
+    else:
+        key = F.when(small, F.unhex(F.hex(F.xxhash64("page_id", "url", "digest")))).otherwise(F.col("digest"))
+        rows = source.withColumn("key", key).join(copies, F.col("key") == F.col("again"), "left")
+    rows = rows.select("page_id", "url", "payload", F.lower(F.hex("digest")).alias("digest"), "first", (F.col("again").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(folder)
@@ -126,10 +138,13 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, id_col: s
 def read_records(index: DataFrame, folder: str, payload: bool = False) -> DataFrame:
     """The records that the index rows name, with their payload (null in revisits) if asked for.
 
-    Rows are dealt out by file and stretch of 64 MB, and sorted by offset; neighbours are fetched together.
+    Rows are sorted by file and offset across tasks, one for each TASK_BYTES that they name and one for each
+    core at least; within a task neighbours are fetched together. Rows named twice are read twice; a null id or
+    url was written as such and is null again. No rows give no rows.
     """
-    placed = index.select("file", "offset", "length", F.floor(F.col("offset") / (64 << 20)).alias("stretch"))
-    placed = placed.repartition("file", "stretch").sortWithinPartitions("file", "offset").select("file", "offset", "length")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    placed = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(folder)
@@ -163,6 +178,7 @@ def read_records(index: DataFrame, folder: str, payload: bool = False) -> DataFr
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of `pages` written to archives and read back through their index."""
     folder = shared_dir(spark) + "/archives"
     index = write_archives(spark, table(spark, sf_dir, "pages"), folder)
     return read_records(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -64,9 +64,11 @@ def test_dense_cells_are_dealt_in_blocks(spark, monkeypatch):
     prints = list({c ^ sum(1 << b for b in r.sample(range(64), r.randrange(6))) for c in [centre] * 150 + [far] * 40})
     rows = list(enumerate(prints))
     signed = [(i, f - 2**64 if f >= 2**63 else f) for i, f in rows]
-    edges = simhash.near_links(spark, spark.createDataFrame(signed, "id long, f0 long"), 64, 4, 2, 1)
-    got = {i: i for i, _ in rows} | {x["node"]: x["component"] for x in components(spark, edges).collect()}
-    assert got == brute(rows, lambda a, b: (a ^ b).bit_count() <= 4)
+    for most in (simhash.BROADCAST_CELLS, 0):
+        monkeypatch.setattr(simhash, "BROADCAST_CELLS", most)
+        edges = simhash.near_links(spark, spark.createDataFrame(signed, "id long, f0 long"), 64, 4, 2, 1)
+        got = {i: i for i, _ in rows} | {x["node"]: x["component"] for x in components(spark, edges).collect()}
+        assert got == brute(rows, lambda a, b: (a ^ b).bit_count() <= 4)
 
 
 def test_chain_of_links(spark):
@@ -83,52 +85,6 @@ def test_empty_and_null_ids(spark):
     assert sorted(map(tuple, got), key=str) == sorted([(None, 4), (None, None), (4, 4), (4, 4), (9, 9)], key=str)
 
 
-def test_keep_one(spark):
-    r = random.Random(5)
-    words = ["w%d" % k for k in range(500)]
-    long_text = [r.choice(words) for _ in range(300)]
-    near = list(long_text)
-    near[150] = "changed"
-    other = [r.choice(words) for _ in range(300)]
-    rows = [(3, " ".join(long_text)), (1, " ".join(near)), (2, " ".join(other)), (7, " ".join(long_text)), (8, "short one"), (None, "kept")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit("clash")).withColumn("f0", F.lit(1))
-    kept = simhash.keep_one(spark, docs)
-    assert kept.columns == docs.columns
-    assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == ["1", "2", "8", "None"]
-
-
 @pytest.mark.parametrize("text", [None, b"", b" \n\t", b"a", b"a b c d e f " * 7000])
 def test_fingerprint(text):
     assert simhash.fingerprint(text, 4, 1) == [fingerprint((text or b"").decode())]
-
-
-def test_stage_equals_brute_force(spark):
-    """The pipeline's stage, with wide fingerprints and cells of 16 bits, restated without numpy or Spark."""
-    r = random.Random(11)
-    vocabulary = ["v%d" % k for k in range(300)]
-    rows = []
-    for _ in range(25):
-        words = [r.choice(vocabulary) for _ in range(r.choice((6, 80, 250)))]
-        for _ in range(4):
-            rows.append((len(rows), " ".join(words)))
-            for _ in range(r.choice((0, 1, 3))):
-                words[r.randrange(len(words))] = r.choice(vocabulary)
-    rows += [(len(rows), ""), (len(rows) + 1, None), (len(rows) + 2, "one two")]
-
-    def wide(text):
-        words = (text or "").split()
-        shingles = [" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
-        out = 0
-        for pair in range(4):
-            h = [int.from_bytes(xxhash.xxh3_128_digest(s.encode(), seed=42 + pair), "little") for s in shingles]
-            out |= sum(1 << b for b in range(128) if 2 * sum(x >> b & 1 for x in h) > len(h)) << 128 * pair
-        return out
-
-    def cells(f):
-        return [[(f >> 16 * g + s & 3).bit_count() for s in range(0, 16, 2)] for g in range(32)]
-
-    prints = [(i, wide(t)) for i, t in rows]
-    point = {f: cells(f) for _, f in prints}
-    comp = brute(prints, lambda a, b: (a ^ b).bit_count() <= 86 and any(x == y for x, y in zip(point[a], point[b], strict=True)))
-    kept = {x["doc_id"] for x in simhash.keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert kept == {i for i, c in comp.items() if i == c} and 30 < len(kept) < len(rows) - 20

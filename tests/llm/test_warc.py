@@ -11,10 +11,12 @@ BIG = "é" * 600
 
 
 def pages():
-    return [(1, "http://a/1", BIG), (2, "http://a/2", BIG), (3, "http://a/3", BIG), (4, "u\r\nx%", "small"), (5, None, "small"), (6, "http://a/6", None), (7, "http://a/7", ""), (8, "w", "WARC/1.1\r\n\r\n" * 300), (9, "l", "x" * 500000), (3, "http://a/3", BIG), (None, "n", BIG)]
+    return [(1, "http://a/1", BIG), (2, "http://a/2", BIG), (3, "http://a/3", BIG), (4, "u\r\nx%", "small"), (5, None, "small"), (6, "http://a/6", None), (7, "http://a/7", ""), (8, "w", "WARC/1.1\r\n\r\n" * 300), (9, "l", "x" * 500000), (3, "http://a/3", BIG), (None, "n", BIG), (10, "urn:none", "x"), (11, "%75rn:none", "x")]
 
 
-def test_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("most", [warc.BROADCAST_DIGESTS, -1])
+def test_round_trip(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", most)
     folder = f"file://{tmp_path}/archives"
     df = spark.createDataFrame(pages(), "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
     index = warc.write_archives(spark, df, folder)
@@ -46,6 +48,14 @@ def test_ranges_are_coalesced(spark, tmp_path, monkeypatch):
     assert sorted(r[0] for r in warc.read_records(index.where("page_id % 7 = 0"), folder).select("page_id").collect()) == list(range(0, 200, 7))
 
 
+def test_reads_are_dealt_out_by_bytes(spark, tmp_path, monkeypatch):
+    folder = f"file://{tmp_path}/archives"
+    df = spark.range(300).selectExpr("id as page_id", "'u' as url", "sha2(cast(id as string), 512) as html").coalesce(1)
+    index = warc.write_archives(spark, df, folder)
+    monkeypatch.setattr(warc, "TASK_BYTES", index.agg(F.sum("length")).first()[0] // 10)
+    assert warc.read_records(index, folder).rdd.getNumPartitions() in (10, 11)
+
+
 def test_damage_is_noticed(spark, tmp_path):
     data = bytearray(warc.record(1, "u", b"payload", hashlib.sha1(b"payload").hexdigest(), None, False))
     data[data.rfind(b"payload")] = 0
