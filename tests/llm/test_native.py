@@ -148,19 +148,28 @@ def test_license_places(spark):
     assert got == sorted(((d, *brute(t)) for d, t in rows), key=repr)
 
 
-def test_license_votes(spark):
-    notice = licenses.TEMPLATES["mit-notice"]
+def test_license_votes(spark, monkeypatch):
+    templates = {k: licenses.TEMPLATES[k] for k in ("mit-notice", "mit", "bsd-3-clause", "apache-2.0")}
+    notice = templates["mit-notice"]
     edited = notice.replace("without limitation", "but not only").replace("free of charge", "entirely free of any charge")
     words = notice.split()
-    rows = [(1, "code\n" * 50 + notice + "\nmore code"), (2, edited), (3, " ".join(words[:12])), (4, " ".join(w + " zz" for w in words)), (5, notice + " x " * 500 + notice), (6, None)]
+    rows = [(1, "code\n" * 50 + notice + "\nmore code"), (2, edited), (3, " ".join(words[:12])), (4, " ".join(w + " zz" for w in words)), (5, notice + " x " * 500 + notice), (6, None), (7, "(c) me " + templates["mit"].upper()), (8, templates["bsd-3-clause"].replace("copyright holder", "University")), (9, "x " * 9 + templates["apache-2.0"]), (1, "code\n" * 50 + notice + "\nmore code")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = defaultdict(list)
-    for x in licenses.votes(spark, df, "doc_id", "text", licenses.TEMPLATES).collect():
-        got[x["id"]].append((x["template"], x["first"], round(x["share"], 2)))
-    assert got[1] == [("mit-notice", 50, 1.0)]
-    assert [t for t, *_ in got[2]] == ["mit-notice"] and got[2][0][2] > 0.7
-    assert len(got[5]) == 2 and not {3, 4, 6} & got.keys()
+    for most in (licenses.BROADCAST_SPANS, -1):
+        monkeypatch.setattr(licenses, "BROADCAST_SPANS", most)
+        got = defaultdict(list)
+        out = licenses.votes(spark, df, "doc_id", "text", templates)
+        assert no_python(out)
+        for x in out.collect():
+            got[x["id"]].append((x["template"], x["first"], round(x["share"], 2)))
+        assert got[1] == [("mit-notice", 50, 1.0)]
+        assert [t for t, *_ in got[2]] == ["mit-notice"] and got[2][0][2] > 0.9
+        assert len(got[5]) == 2 and not {3, 4, 6} & got.keys()
+        assert sorted(got[7]) == [("mit", 2, 1.0), ("mit-notice", 2, 1.0)] and got[9] == [("apache-2.0", 9, 1.0)]
+        assert [t for t, *_ in got[8]] == ["bsd-3-clause"] and 0.95 < got[8][0][2] < 1
     assert licenses.scan(spark, df.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="fewer than 4 words"):
+        licenses.votes(spark, df, "doc_id", "text", {"short": "MIT license"})
 
 
 # --- decontamination ---
