@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import re
 import sys
 import urllib.error
 import urllib.request
@@ -52,16 +53,16 @@ def run_query(url: str, sql: str, out: TextIO, err: TextIO) -> int:
     return 0
 
 
+_PARTS = re.compile(r"""--[^\n]*|/\*.*?\*/|'(?:[^']|'')*'|"(?:[^"]|"")*"|;|['"]|/\*|[^;'"/-]+|.""", re.S)
+
+
 def split_statement(buffer: str) -> tuple[str | None, str]:
-    """The first statement of the buffer, if its semicolon is there, and what follows; quoted ones don't count."""
-    quote = ""
-    for k, ch in enumerate(buffer):
-        if quote:
-            quote = "" if ch == quote else quote
-        elif ch in "'\"":
-            quote = ch
-        elif ch == ";":
-            return buffer[:k].strip(), buffer[k + 1 :]
+    """The first statement of the buffer, if its semicolon is there, and what follows; those in quotes and comments don't count."""
+    for m in _PARTS.finditer(buffer):
+        if m[0] == ";":
+            return buffer[: m.start()].strip(), buffer[m.end() :]
+        if m[0] in ("'", '"', "/*"):  # not closed yet
+            break
     return None, buffer
 
 

@@ -6,7 +6,6 @@ import argparse
 import datetime
 import decimal
 import json
-import os
 import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from granary.plans.planner import plan
 from granary.session import session
-from granary.sources.tables import describe, open_table, table_name, type_name
+from granary.sources.tables import describe, open_table, table_exists, table_name, type_name
 from granary.sources.tsv import convert
 from granary.sql.errors import SqlError
 
@@ -47,11 +46,18 @@ def to_json(v: object) -> object:
     return v.hex() if isinstance(v, (bytes, bytearray)) else v
 
 
-def answer(frame: DataFrame, sql: str) -> dict:
-    """Runs a statement and gathers its rows, which must fit in the driver as they must in the response."""
+#: Most rows of a response; a result with more is refused, not cut.
+MAX_ROWS = 1_000_000
+
+
+def answer(frame: DataFrame, sql: str, most: int = MAX_ROWS) -> dict:
+    """Runs a statement and gathers its rows, at most `most`; a larger result is an error that asks for a LIMIT."""
     began = time.perf_counter_ns()
     out = plan(sql, frame)
-    rows = [[to_json(v) for v in r] for r in out.collect()]
+    found = out.limit(most + 1).collect()
+    if len(found) > most:
+        raise SqlError(f"the result has over {most} rows; add a LIMIT")
+    rows = [[to_json(v) for v in r] for r in found]
     took = time.perf_counter_ns() - began
     columns = [{"name": f.name, "type": type_name(f.dataType)} for f in out.schema.fields]
     return {"columns": columns, "rows": rows, "rowCount": len(rows), "elapsedMs": took // 1_000_000, "elapsedNanos": took}
@@ -112,7 +118,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--column-names", help="comma-separated")
     args = p.parse_args(argv)
     spark = session()
-    if args.tsv and not os.path.exists(os.path.join(args.data_dir, "_SUCCESS")):
+    if args.tsv and not table_exists(spark, args.data_dir):
         convert(spark, args.tsv, args.data_dir, args.header, args.column_names.split(",") if args.column_names else None)
     with make_server(open_table(spark, args.data_dir), table_name(args.data_dir), args.port) as server:
         print(f"http://127.0.0.1:{server.server_port}", flush=True)

@@ -14,6 +14,12 @@ def open_table(spark: SparkSession, path: str, view: str | None = None) -> DataF
     return frame
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written completely at path, on any file system that Spark knows."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
 def table_name(path: str) -> str:
     return path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
 

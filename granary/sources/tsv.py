@@ -4,7 +4,7 @@ Fields are split at tabs, records at line feeds; one carriage return before the
 There is no quoting. A field that is \\N is null; an empty field is an empty text, or null in a column of
 numbers. Types come from the whole file: int, then bigint, then double, then string, each the first that
 fits every field; an integer beyond 64 bits makes its column a string. One scan finds the width, one the
-types of all columns, one writes the table.
+types of all columns, one writes the table; where files have headers, each of these also finds the files' first lines.
 """
 
 from __future__ import annotations
@@ -47,17 +47,28 @@ def infer(fields: DataFrame) -> list[str]:
     return ["string" if not r[4 * k] else next((t for t, fits in zip(TYPES, r[4 * k + 1 : 4 * k + 4], strict=False) if fits), "string") for k in range(width)]
 
 
+def _without_headers(lines: DataFrame, header: str) -> DataFrame:
+    """(value): the lines but for the first of each file, where that is the header.
+
+    A file's first line has the smallest number among the lines of the file's first block, however many files
+    share a partition. The table of first lines has a row for each file; Spark broadcasts it if it is small.
+    """
+    placed = lines.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    starts = placed.where(F.col("block") == 0).groupBy("path").agg(F.min("id").alias("first")).select("first")
+    body = placed.join(starts, F.col("id") == F.col("first"), "left")
+    return body.where(F.col("first").isNull() | (F.regexp_replace("value", r"\r\z", "") != F.lit(header))).select("value")
+
+
 def read_tsv(spark: SparkSession, path: str, header: bool = False, names: list[str] | None = None) -> DataFrame:
-    """A typed frame. Names are the header's, else those given, else col0, col1, ...; short records end in nulls."""
+    """A typed frame. Names are the header's, else those given, else col0, col1, ...; short records end in nulls.
+
+    With `header`, the first record names the columns, and every file may start with the same record.
+    """
     fields = read_fields(spark, path)
     if header:
         first = fields.first()
         names = list(first[0]) if first else names
-        # a header belongs to the start of a file: the first record of every file is dropped
-        lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
-        head = F.regexp_replace(F.col("value"), r"\r\z", "") == F.lit("\t".join(first[0]) if first else "")
-        starts = lines.where(F.col("block") == 0).withColumn("part", F.shiftright("id", 33)).groupBy("part").agg(F.min("id").alias("first"))
-        body = lines.join(F.broadcast(starts), lines["id"] == starts["first"], "left").where(F.col("first").isNull() | ~head)
+        body = _without_headers(spark.read.option("lineSep", "\n").text(path), "\t".join(first[0]) if first else "")
         fields = body.select(F.split(F.regexp_replace("value", r"\r\z", ""), "\t", -1).alias("fields"))
     kinds = infer(fields)
     names = [n if n else f"col{k}" for k, n in enumerate([*(names or []), *[""] * len(kinds)][: max(len(kinds), len(names or [])) if header else len(kinds)])]

@@ -9,7 +9,9 @@ import urllib.request
 import pytest
 
 from granary import cli
-from granary.server import make_server
+from granary.server import answer, make_server
+from granary.sources.tables import table_exists
+from granary.sql.errors import SqlError
 
 
 @pytest.fixture(scope="module")
@@ -55,6 +57,23 @@ def test_prompt(url):
 def test_statement_split():
     assert cli.split_statement("a ';' b; c") == ("a ';' b", " c")
     assert cli.split_statement("open 'x;") == (None, "open 'x;")
+    assert cli.split_statement("a -- it's; here\n; b") == ("a -- it's; here", " b")
+    assert cli.split_statement("a /* ; ' */ - 1; b") == ("a /* ; ' */ - 1", " b")
+    assert cli.split_statement("a /* ;") == (None, "a /* ;")
+    assert cli.split_statement('"x;" ; c') == ('"x;"', " c")
+
+
+def test_large_results_are_refused_whole(spark):
+    frame = spark.range(50)
+    assert answer(frame, "SELECT id FROM t", 50)["rowCount"] == 50
+    with pytest.raises(SqlError, match="over 49 rows"):
+        answer(frame, "SELECT id FROM t", 49)
+
+
+def test_table_exists(spark, tmp_path):
+    assert not table_exists(spark, str(tmp_path / "t"))
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    assert table_exists(spark, f"file://{tmp_path}/t")
 
 
 def test_json_errors(url):

@@ -84,6 +84,17 @@ def test_empty_file(spark, file):
 def test_header_of_each_file(spark, tmp_path):
     folder = tmp_path / "many"
     folder.mkdir()
+    for k in range(50):
+        (folder / f"{k}.tsv").write_bytes(f"id\tcity\n{k}\tBern\n".encode() if k % 7 else b"id\tcity\r\n")
+    table = read_tsv(spark, str(folder), header=True)
+    assert table.schema.simpleString() == "struct<id:int,city:string>"
+    assert sorted(tuple(r) for r in table.collect()) == [(k, "Bern") for k in range(50) if k % 7]
+    assert table.rdd.getNumPartitions() < 50  # several files share a partition
+
+
+def test_header_text_inside_a_file_is_data(spark, tmp_path):
+    folder = tmp_path / "few"
+    folder.mkdir()
     for k in range(3):
         (folder / f"{k}.tsv").write_bytes(f"id\tcity\n{k}\tBern\nid\tcity\n".encode())
     got = sorted(tuple(r) for r in read_tsv(spark, str(folder), header=True).collect())
