@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.plans.planner import plan
-from granary.sources.tables import open_table
+from granary.sources.tables import open_table, scratch_folder
+from granary.sources.tsv import convert
+from granary.sql.errors import SqlError
 
 
 @dataclass(frozen=True)
@@ -46,6 +48,12 @@ def nulls(column: str, value: object) -> Callable[[DataFrame], DataFrame]:
     return lambda df: df.withColumn(column, F.nullif(F.col(column), F.lit(value)))
 
 
+def wrapped(sql: str) -> str:
+    """SQL for a 128-bit value as the 64-bit integer that is left of it."""
+    return f"CAST((({sql} + 9223372036854775808::HUGEINT) % 18446744073709551616::HUGEINT + 18446744073709551616::HUGEINT) % 18446744073709551616::HUGEINT - 9223372036854775808::HUGEINT AS BIGINT)"
+
+
+# The shapes of the statements q00 to q42, so that their times compare; tables and columns are others.
 VIEWS = "l_suppkey = 62 AND l_shipdate >= '1996-01-01' AND l_shipdate <= '2000-12-31' AND l_linenumber <> 7"
 HOST = r"'^https?://(?:www\.)?([^/]+)/.*$', '\1'"
 
@@ -115,7 +123,7 @@ STATEMENTS: dict[str, Statement] = {
     "x_empty_agg": Statement("part", "SELECT COUNT(*) AS c, MAX(p_size) AS m FROM part WHERE p_size > 100000"),
     "x_group_null": Statement("part", "SELECT p_size AS k, COUNT(*) AS c FROM part GROUP BY p_size", (), "SELECT NULLIF(p_size, 11) AS k, COUNT(*) AS c FROM part GROUP BY 1", nulls("p_size", 11)),
     "x_is_null": Statement("part", "SELECT p_size IS NULL AS gone, COUNT(*) AS c FROM part WHERE p_name IS NOT NULL GROUP BY p_size IS NULL", (), "SELECT NULLIF(p_size, 11) IS NULL AS gone, COUNT(*) AS c FROM part WHERE p_name IS NOT NULL GROUP BY 1", nulls("p_size", 11)),
-    "x_order_nulls": Statement("part", "SELECT p_partkey, p_size FROM part ORDER BY p_size, p_partkey LIMIT 20 OFFSET 1900", (), "SELECT p_partkey, NULLIF(p_size, 11) AS p_size FROM part ORDER BY 2 NULLS LAST, 1 LIMIT 20 OFFSET 1900", nulls("p_size", 11)),
+    "x_order_nulls": Statement("part", "SELECT p_partkey, p_size FROM part ORDER BY p_size, p_partkey LIMIT 20 OFFSET 185", (), "SELECT p_partkey, NULLIF(p_size, 11) AS p_size FROM part ORDER BY 2 NULLS LAST, 1 LIMIT 20 OFFSET 185", nulls("p_size", 11)),
     "x_keys_only": Statement("part", "SELECT p_brand FROM part GROUP BY p_brand"),
     "x_post_aggregate": Statement("lineitem", "SELECT l_returnflag, SUM(l_quantity) / COUNT(*) AS q, SUM(l_linenumber) / COUNT(*) AS n FROM lineitem GROUP BY l_returnflag HAVING MIN(l_linenumber) = 1", ("q",), "SELECT l_returnflag, ROUND(SUM(l_quantity) / COUNT(*), 6) AS q, CAST(SUM(l_linenumber) // COUNT(*) AS BIGINT) AS n FROM lineitem GROUP BY l_returnflag HAVING MIN(l_linenumber) = 1"),
     "x_case": Statement("part", "SELECT p_partkey, CASE WHEN p_size < 10 THEN 1 WHEN p_size < 20 THEN 2.5 END AS v, CASE WHEN p_size < 10 THEN p_brand ELSE 'none' END AS b FROM part", (), "SELECT p_partkey, CASE WHEN p_size < 10 THEN 1 WHEN p_size < 20 THEN 2.5 END::DOUBLE AS v, CASE WHEN p_size < 10 THEN p_brand ELSE 'none' END AS b FROM part"),
@@ -133,7 +141,66 @@ STATEMENTS: dict[str, Statement] = {
     "x_bool": Statement("nation", "SELECT n_nationkey, n_regionkey = 1 AS is_one, NOT TRUE AS no FROM nation WHERE TRUE"),
     "x_dims": Statement("supplier", "SELECT s_nationkey, COUNT(*) AS c, AVG(s_acctbal) AS a FROM supplier GROUP BY s_nationkey ORDER BY c DESC, s_nationkey LIMIT 5", ("a",)),
     "x_regions": Statement("region", "SELECT r_regionkey, STRLEN(r_name) AS n FROM region ORDER BY r_regionkey LIMIT 3 OFFSET 1", (), "SELECT r_regionkey, LENGTH(r_name) AS n FROM region ORDER BY r_regionkey LIMIT 3 OFFSET 1"),
+    "x_reserved": Statement("region", 'SELECT r_regionkey AS "select", r_name AS "Group By" FROM region WHERE "r_regionkey" >= 2'),
+    "x_chained": Statement("part", "SELECT COUNT(*) AS c FROM part WHERE p_size > 10 = TRUE <> (p_size < 20)", (), "SELECT COUNT(*) AS c FROM part WHERE ((p_size > 10) = TRUE) <> (p_size < 20)"),
+    "x_precedence": Statement("part", "SELECT p_partkey, 2 + p_size * 3 - 4 / 2 % 3 AS v, NOT p_size = 5 AND p_size < 9 OR p_size > 40 AS b FROM part;", (), "SELECT p_partkey, CAST(2 + p_size * 3 - ((4 // 2) % 3) AS BIGINT) AS v, ((NOT (p_size = 5)) AND p_size < 9) OR p_size > 40 AS b FROM part"),
+    "x_int_literals": Statement("region", "SELECT r_regionkey, 9223372036854775807 AS hi, -9223372036854775807 AS lo, 007 AS seven FROM region", (), "SELECT r_regionkey, 9223372036854775807 AS hi, -9223372036854775807 AS lo, CAST(7 AS BIGINT) AS seven FROM region"),
+    "x_default_names": Statement("part", "SELECT p_brand, COUNT(*), MAX(p_size), COUNT(DISTINCT p_type), MAX(p_size) + 1 FROM part GROUP BY p_brand", (), 'SELECT p_brand, COUNT(*) AS "count_star()", MAX(p_size) AS "max(p_size)", COUNT(DISTINCT p_type) AS "count(DISTINCT p_type)", CAST(MAX(p_size) + 1 AS BIGINT) AS "(max(p_size) PLUS 1)" FROM part GROUP BY p_brand'),
+    "x_column_case": Statement("nation", "SELECT N_NAME, n_RegionKey AS r FROM nation WHERE N_NationKey < 10", (), 'SELECT n_name AS "N_NAME", n_regionkey AS r FROM nation WHERE n_nationkey < 10'),
+    "x_not_between": Statement("part", "SELECT p_partkey, p_size NOT BETWEEN 10 AND 30 AS out FROM part WHERE p_partkey NOT BETWEEN 5 AND 100", (), "SELECT p_partkey, NULLIF(p_size, 11) NOT BETWEEN 10 AND 30 AS out FROM part WHERE p_partkey NOT BETWEEN 5 AND 100", nulls("p_size", 11)),
+    "x_double_compare": Statement("lineitem", "SELECT l_discount > l_tax AS more, l_tax <= 0.04 AS low, l_quantity = 17 AS same, COUNT(*) AS c FROM lineitem GROUP BY more, low, same"),
+    "x_wrap": Statement("lineitem", "SELECT l_orderkey, l_linenumber, l_orderkey * 4611686018427387903 AS m, l_orderkey + 9223372036854775807 AS p, -9223372036854775807 - l_orderkey AS d FROM lineitem", (), f"SELECT l_orderkey, l_linenumber, {wrapped('l_orderkey::HUGEINT * 4611686018427387903')} AS m, {wrapped('l_orderkey::HUGEINT + 9223372036854775807')} AS p, {wrapped('-9223372036854775807::HUGEINT - l_orderkey')} AS d FROM lineitem"),
+    "x_wrap_sum": Statement("lineitem", "SELECT l_returnflag, SUM(l_partkey * 4611686018427387903) AS s, SUM(l_partkey + 4611686018427387903) AS t FROM lineitem GROUP BY l_returnflag", (), f"SELECT l_returnflag, {wrapped('SUM(l_partkey::HUGEINT * 4611686018427387903)')} AS s, {wrapped('SUM(l_partkey::HUGEINT + 4611686018427387903)')} AS t FROM lineitem GROUP BY l_returnflag"),
+    "x_garbage_dates": Statement(
+        "customer",
+        "SELECT c_custkey, extract(year FROM c_name) AS y, extract(month FROM c_name) AS mo, extract(hour FROM c_name) AS h, extract(minute FROM c_name) AS mi, extract(second FROM c_name) AS s, date_trunc('day', c_mktsegment) AS d FROM customer",
+        (),
+        "SELECT c_custkey, " + ", ".join(f"CASE WHEN length(c_name) < {least} THEN 0 WHEN regexp_full_match(substr(c_name, {at}, {n}), '[+-]?[0-9]+') AND length(substr(c_name, {at}, {n})) = {n} THEN CAST(substr(c_name, {at}, {n}) AS BIGINT) END::BIGINT AS {name}" for name, at, n, least in (("y", 1, 4, 0), ("mo", 6, 2, 0), ("h", 12, 2, 13), ("mi", 15, 2, 16), ("s", 18, 2, 19))) + ", CASE WHEN length(c_mktsegment) = 10 THEN c_mktsegment || ' 00:00:00' WHEN length(c_mktsegment) >= 19 THEN substr(c_mktsegment, 1, 10) || ' 00:00:00' END AS d FROM customer",
+    ),
 }
 
-QUERIES = {name: s.run for name, s in STATEMENTS.items()}
-ORACLE_SQL = {name: s.check() for name, s in STATEMENTS.items()}
+#: Statements that the binder refuses, by the rule that they break.
+REJECTED = {
+    "aggregate of an aggregate": "SELECT SUM(COUNT(p_size)) FROM part",
+    "aggregate in WHERE": "SELECT p_size FROM part WHERE COUNT(*) > 1",
+    "arithmetic on a text": "SELECT p_name + 1 FROM part",
+    "chained comparison of unlike kinds": "SELECT p_size < 1 < 2 FROM part",
+    "DISTINCT in a scalar call": "SELECT STRLEN(DISTINCT p_name) FROM part",
+    "integer out of range": "SELECT 9223372036854775808 FROM part",
+    "number compared with a text": "SELECT p_size FROM part WHERE p_name = 1",
+    "qualified name": "SELECT part.p_size FROM part",
+    "unknown column": "SELECT nope FROM part",
+    "unterminated text": "SELECT 'p FROM part",
+}
+
+
+def rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rule, rejected): whether each statement of REJECTED is refused when it is planned."""
+    part = open_table(spark, f"{sf_dir}/part.parquet")
+
+    def refused(sql: str) -> bool:
+        try:
+            plan(sql, part)
+        except SqlError:
+            return True
+        return False
+
+    return spark.createDataFrame([(rule, refused(sql)) for rule, sql in REJECTED.items()], "rule string, rejected boolean")
+
+
+TSV_SQL = "SELECT c_mktsegment, COUNT(*) AS c, SUM(c_custkey) AS s, MIN(c_name) AS lo, MAX(c_acctbal) AS hi FROM customer GROUP BY c_mktsegment"
+
+
+def tsv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table customer written as tab-separated files with headers, loaded with inferred types, and aggregated."""
+    folder = scratch_folder(spark)
+    customer = open_table(spark, f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
+    customer.repartition(20).write.option("sep", "\t").option("header", True).option("quote", "").csv(f"{folder}/tsv")
+    return plan(TSV_SQL, convert(spark, f"{folder}/tsv", f"{folder}/table", header=True))
+
+
+QUERIES = {name: s.run for name, s in STATEMENTS.items()} | {"x_rejected": rejections, "x_tsv": tsv_round_trip}
+ORACLE_SQL = {name: s.check() for name, s in STATEMENTS.items()} | {
+    "x_rejected": "SELECT * FROM (VALUES " + ", ".join(f"('{rule}', TRUE)" for rule in REJECTED) + ") AS r(rule, rejected)",
+    "x_tsv": TSV_SQL.replace("SUM(c_custkey)", "CAST(SUM(c_custkey) AS BIGINT)"),
+}

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.plans.expressions import Expressions, Scope, Typed
@@ -11,8 +15,32 @@ from granary.sql.parser import parse
 from granary.sql.tree import Binary, Call, Item, Literal, Name, Node, Select, default_name, holds_aggregate, is_aggregate
 
 
+_ANALYSIS = threading.Lock()
+
+
+@contextmanager
+def _wrapping(spark: SparkSession) -> Iterator[None]:
+    """While plans are analysed, integers wrap at 64 bits: an operator keeps the mode that it was analysed in.
+
+    The setting belongs to the session, so that one statement is analysed at a time; running them is not affected.
+    """
+    key = "spark.sql.ansi.enabled"
+    with _ANALYSIS:
+        before = spark.conf.get(key)
+        spark.conf.set(key, "false")
+        try:
+            yield
+        finally:
+            spark.conf.set(key, before)
+
+
 def plan(sql: str | Select, frame: DataFrame) -> DataFrame:
     """The statement's result. Its FROM name is not looked at: the caller says which frame it runs over."""
+    with _wrapping(frame.sparkSession):
+        return _plan(sql, frame)
+
+
+def _plan(sql: str | Select, frame: DataFrame) -> DataFrame:
     s = parse(sql) if isinstance(sql, str) else sql
     scope = Scope(frame)
     items = [i for item in s.items for i in ([item] if item.expr is not None else [Item(Name(c), c) for c in frame.columns])]

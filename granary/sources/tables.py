@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -20,6 +23,14 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder name that driver and executors share: below spark.checkpoint.dir, or a temporary folder on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(base or 'file://' + tempfile.gettempdir()).rstrip('/')}/granary-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def table_name(path: str) -> str:
     return path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
 

@@ -17,29 +17,33 @@ def run(spark):
     return go
 
 
-NUMBERS = [(1,), (2,), (3,), (4,), (5,)]
+#: A harbour's log: berth, ship, tons loaded, the hour's wind, and the day.
+PORT = [(4, "Möwe", 120, 3.5, "2021-11-30"), (4, "Albatros", 80, 7.25, "2021-12-01"), (9, "Möwe", -5, None, "2021-12-31"), (9, None, None, 0.5, "2022-01-01"), (None, "Älv", 40, 12.0, "2021-12-07")]
+SHIPS = "berth int, ship string, tons int, wind double, day string"
 
 
 @pytest.mark.parametrize(
     "schema, rows, sql, expected",
     [
-        ("x int", [(1,), (2,), (3,), (4,)], "SELECT COUNT(*) FROM t", [(4,)]),
-        ("x int", [(0,), (1,), (2,), (0,), (3,)], "SELECT COUNT(*) FROM t WHERE x <> 0", [(3,)]),
-        ("a int, b double", [(1, 1.5), (2, 2.5), (3, 5.0)], "SELECT SUM(a), COUNT(*), AVG(b), SUM(b) FROM t", [(6, 3, 3.0, 9.0)]),
-        ("x int", [(5,), (2,), (9,)], "SELECT MIN(x), MAX(x) FROM t", [(2, 9)]),
-        ("c string", [("a",), ("b",), ("a",), (None,)], "SELECT COUNT(DISTINCT c), COUNT(c), COUNT(*) FROM t", [(2, 3, 4)]),
-        ("c string", [("a",), ("a",), ("b",), ("c",), ("c",)], "SELECT c, COUNT(*) AS n FROM t GROUP BY c HAVING COUNT(*) > 1 ORDER BY n DESC, c", [("a", 2), ("c", 2)]),
-        ("x int", NUMBERS, "SELECT x FROM t WHERE x BETWEEN 2 AND 4 AND x NOT IN (3) ORDER BY x DESC", [(4,), (2,)]),
-        ("x int", NUMBERS, "SELECT COUNT(*), MAX(x), SUM(x), AVG(x) FROM t WHERE x > 100", [(0, None, None, None)]),
+        (SHIPS, PORT, "SELECT COUNT(*), COUNT(berth), COUNT(tons), COUNT(DISTINCT ship) FROM t", [(5, 4, 4, 3)]),
+        (SHIPS, PORT, "SELECT ship, tons FROM t WHERE tons <> 80 ORDER BY tons", [("Möwe", -5), ("Älv", 40), ("Möwe", 120)]),
+        (SHIPS, PORT, "SELECT berth, SUM(tons), AVG(wind), SUM(wind), MIN(day), MAX(ship) FROM t GROUP BY berth ORDER BY berth", [(4, 200, 5.375, 10.75, "2021-11-30", "Möwe"), (9, -5, 0.5, 0.5, "2021-12-31", "Möwe"), (None, 40, 12.0, 12.0, "2021-12-07", "Älv")]),
+        (SHIPS, PORT, "SELECT ship, COUNT(*) AS calls FROM t GROUP BY ship HAVING COUNT(*) >= 2 OR ship IS NULL ORDER BY calls DESC", [("Möwe", 2), (None, 1)]),
+        (SHIPS, PORT, "SELECT ship FROM t WHERE wind BETWEEN 0.5 AND 7.25 AND berth IN (4, 7) ORDER BY wind DESC", [("Albatros",), ("Möwe",)]),
+        (SHIPS, PORT, "SELECT COUNT(*), MIN(wind), SUM(tons), AVG(tons), MAX(day) FROM t WHERE tons < -5", [(0, None, None, None, None)]),
+        (SHIPS, PORT, "SELECT day FROM t WHERE day > '2021-11-30' AND day < '2022' ORDER BY day DESC", [("2021-12-31",), ("2021-12-07",), ("2021-12-01",)]),
+        (SHIPS, PORT, "SELECT berth, AVG(LENGTH(ship)) AS l, MAX(STRLEN(ship)) FROM t GROUP BY berth ORDER BY l, berth", [(None, 3.0, 3), (9, 4.0, 4), (4, 6.0, 8)]),
         ("x int", [(1,), (None,)], "SELECT COUNT(*) FROM t WHERE x NOT IN (2, NULL)", [(0,)]),
         ("x int", [(1,), (None,)], "SELECT COUNT(*) FROM t WHERE NOT (x = 2)", [(1,)]),
         ("x int, y int", [(-7, 2), (7, 0), (-7, 3)], "SELECT x / y, x % y FROM t", [(-3, -1), (None, None), (-2, -1)]),
         ("x double", [(7.0,)], "SELECT x / 0.0, x % 0, x / 2 FROM t", [(None, None, 3.5)]),
         ("x int", [(2147483647,)], "SELECT x + 1, x * 2, -x FROM t", [(2147483648, 4294967294, -2147483647)]),
-        ("x int", NUMBERS, "SELECT SUM(x + 1), SUM(x - 2), SUM(3 + x), SUM(x) FROM t", [(20, 5, 30, 15)]),
+        (SHIPS, PORT, "SELECT SUM(tons + 1), SUM(tons - 10), SUM(1000 + tons), SUM(tons) FROM t", [(239, 195, 4235, 235)]),
+        ("x long", [(2**63 - 1,), (2**62,)], "SELECT x + 1, x * 4, -x - 2 FROM t WHERE x > 4611686018427387904", [(-(2**63), -4, 2**63 - 1)]),
+        ("x long", [(2**63 - 1,), (2**63 - 1,), (5,)], "SELECT SUM(x), SUM(x + 1), SUM(DISTINCT x) FROM t", [(3, 6, -(2**63) + 4)]),
         ("x int", [(None,)], "SELECT SUM(x + 1) FROM t", [(None,)]),
         ("x int", [(1,), (1,), (3,)], "SELECT SUM(DISTINCT x), AVG(DISTINCT x), MIN(DISTINCT x), MAX(DISTINCT x) FROM t", [(4, 2.0, 1, 3)]),
-        ("s string", [("abc",), ("привет",), ("",), (None,)], "SELECT STRLEN(s) FROM t", [(3,), (6,), (0,), (None,)]),
+        ("s string", [("Zürich ☂",), ("𝄞",), (" ",), (None,)], "SELECT STRLEN(s), LENGTH(s) FROM t", [(8, 8), (1, 1), (1, 1), (None, None)]),
         ("a int, b int", [(1, 10), (1, 20), (2, 5)], "SELECT a, SUM(b) / COUNT(*) AS m FROM t GROUP BY a ORDER BY m DESC", [(1, 15), (2, 5)]),
         ("a int", [(3,), (None,), (1,)], "SELECT a FROM t ORDER BY a", [(1,), (3,), (None,)]),
         ("a int", [(3,), (None,), (1,)], "SELECT a FROM t ORDER BY a DESC", [(3,), (1,), (None,)]),
@@ -56,9 +60,7 @@ NUMBERS = [(1,), (2,), (3,), (4,), (5,)]
         ("X int, y int", [(1, 2)], "SELECT x, Y, * FROM t", [(1, 2, 1, 2)]),
         ("a int", [(1,), (2,)], "SELECT a FROM t ORDER BY 1 LIMIT 5", [(1,), (2,)]),
         ("b boolean", [(True,), (False,), (None,)], "SELECT COUNT(*) FROM t WHERE b OR FALSE", [(1,)]),
-        ("d string", [("2013-07-01",), ("2013-08-01",)], "SELECT MIN(d), COUNT(*) FROM t WHERE d >= '2013-07-01' AND d <= '2013-07-31'", [("2013-07-01", 1)]),
         ("a int", [(1,), (3,)], "SELECT AVG(a) > 1.5 FROM t", [(True,)]),
-        ("g string, s string", [("a", "xy"), ("a", "xyzw"), ("b", "")], "SELECT g, AVG(LENGTH(s)) AS l FROM t GROUP BY g ORDER BY l DESC", [("a", 3.0), ("b", 0.0)]),
     ],
 )
 def test_results(run, schema, rows, sql, expected):
@@ -68,29 +70,29 @@ def test_results(run, schema, rows, sql, expected):
 
 @pytest.mark.parametrize(
     "pattern, expected",
-    [("abc%", ["abc", "abcdef"]), ("%abc", ["abc", "xyzabc"]), ("%abc%", ["abc", "abcdef", "xyzabc"]), ("exact", ["exact"]), ("foo_bar", ["foo_bar", "fooxbar"]), ("a\\_b", ["a\\zb"]), ("%\n%", ["two\nlines"]), ("", [])],
+    [("port%", ["port", "port of call"]), ("%port", ["airport", "c:\\port", "port"]), ("%port%", ["airport", "c:\\port", "port", "port of call", "two\nports"]), ("port", ["port"]), ("5_m", ["50m", "5_m"]), ("c:\\_ort", ["c:\\port"]), ("%\n%", ["two\nports"]), ("", []), ("p%o%c_ll", ["port of call"])],
 )
 def test_like(run, pattern, expected):
-    rows = [(x,) for x in ("abc", "abcdef", "xyzabc", "exact", "foo_bar", "fooxbar", "a\\zb", "two\nlines", None)]
+    rows = [(x,) for x in ("port", "port of call", "airport", "50m", "5_m", "c:\\port", "two\nports", None)]
     assert sorted(r[0] for r in run("s string", rows, f"SELECT s FROM t WHERE s LIKE '{pattern}'")) == sorted(expected)
     assert [r[0] for r in run("s string, p string", [(*r, pattern) for r in rows], "SELECT s FROM t WHERE s LIKE p ORDER BY s")] == sorted(expected)
 
 
-@pytest.mark.parametrize("field, value", [("year", 2013), ("month", 7), ("day", 14), ("dayofmonth", 14), ("hour", 20), ("minute", 38), ("second", 47)])
+@pytest.mark.parametrize("field, value", [("year", 1999), ("month", 12), ("day", 5), ("dayofmonth", 5), ("hour", 6), ("minute", 0), ("second", 59)])
 def test_extract(run, spark, field, value):
-    assert run("s string", [("2013-07-14 20:38:47",)], f"SELECT extract({field} FROM s) FROM t") == [(value,)]
-    times = spark.createDataFrame([("2013-07-14 20:38:47",)], "s string").select(F.col("s").cast("timestamp_ntz").alias("s"))
+    assert run("s string", [("1999-12-05 06:00:59",)], f"SELECT extract({field} FROM s) FROM t") == [(value,)]
+    times = spark.createDataFrame([("1999-12-05 06:00:59",)], "s string").select(F.col("s").cast("timestamp_ntz").alias("s"))
     assert plan(f"SELECT extract({field} FROM s) FROM t", times).collect()[0][0] == value
 
 
 def test_extract_odd_texts(run):
-    assert run("s string", [("2013-07-14",)], "SELECT extract(hour FROM s), extract(minute FROM s) FROM t") == [(0, 0)]
-    assert run("s string", [("not-a-date",)], "SELECT extract(year FROM s), extract(hour FROM s) FROM t") == [(None, 0)]
+    assert run("s string", [("1999-12-05",)], "SELECT extract(hour FROM s), extract(minute FROM s) FROM t") == [(0, 0)]
+    assert run("s string", [("some words",)], "SELECT extract(year FROM s), extract(hour FROM s) FROM t") == [(None, 0)]
 
 
 @pytest.mark.parametrize(
     "precision, text, expected",
-    [("minute", "2013-07-14 20:38:47", "2013-07-14 20:38:00"), ("hour", "2013-07-14 20:38:47", "2013-07-14 20:00:00"), ("day", "2013-07-14 20:38:47", "2013-07-14 00:00:00"), ("month", "2013-07-14 20:38:47", "2013-07-01 00:00:00"), ("year", "2013-07-14 20:38:47", "2013-01-01 00:00:00"), ("second", "2013-07-14 20:38:47.5", "2013-07-14 20:38:47"), ("day", "2013-07-14", "2013-07-14 00:00:00"), ("minute", "not-a-date", "not-a-date 00:00:00"), ("day", "short", None)],
+    [("minute", "1999-12-05 06:00:59", "1999-12-05 06:00:00"), ("hour", "1999-12-05 06:00:59", "1999-12-05 06:00:00"), ("day", "1999-12-05 06:00:59", "1999-12-05 00:00:00"), ("month", "1999-12-05 06:00:59", "1999-12-01 00:00:00"), ("year", "1999-12-05 06:00:59", "1999-01-01 00:00:00"), ("second", "1999-12-05 06:00:59.5", "1999-12-05 06:00:59"), ("day", "1999-12-05", "1999-12-05 00:00:00"), ("minute", "some words", "some words 00:00:00"), ("day", "short", None)],
 )
 def test_date_trunc(run, precision, text, expected):
     assert run("s string", [(text,)], f"SELECT date_trunc('{precision}', s) FROM t") == [(expected,)]
@@ -98,8 +100,8 @@ def test_date_trunc(run, precision, text, expected):
 
 def test_regexp_replace(run):
     host = r"'^https?://(?:www\.)?([^/]+)/.*$', '\1'"
-    assert run("s string", [("http://www.example.com/path/to/page",), ("just text",)], f"SELECT regexp_replace(s, {host}) FROM t") == [("example.com",), ("just text",)]
-    assert run("s string", [("a-b-c",)], "SELECT regexp_replace(s, '[a-z]', 'X') FROM t") == [("X-X-X",)]
+    assert run("s string", [("https://www.quay.example/a/b?c",), ("http://quay.example",), ("no address",)], f"SELECT regexp_replace(s, {host}) FROM t") == [("quay.example",), ("http://quay.example",), ("no address",)]
+    assert run("s string", [("7 of 19",), ("none",)], "SELECT regexp_replace(s, '[0-9]+', '#') FROM t") == [("# of #",), ("none",)]
     assert run("s string, r string", [("a1", r"\1$\\"), ("b2", None)], "SELECT regexp_replace(s, '([a-z])', r) FROM t") == [("a$\\1",), (None,)]
 
 
