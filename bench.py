@@ -7,8 +7,6 @@ import os
 import statistics
 import time
 
-from pyspark.sql import SparkSession
-
 from granary.operators.statements import STATEMENTS
 from granary.session import session
 from granary.sources.tables import open_table
@@ -20,8 +18,7 @@ HEADLINE = [name for name in STATEMENTS if name.startswith("q")]
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
-    SparkSession.builder.master(f"local[{cpus}]").config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-    spark = session("granary-bench", spark__sql__shuffle__partitions=cpus)
+    spark = session("granary-bench", **{"spark.master": f"local[{cpus}]", "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "8g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     # tables are opened once, as the figures to compare with have them; each run parses, plans and executes
     tables = {name: open_table(spark, f"{sf_dir}/{name}.parquet") for name in {STATEMENTS[q].table for q in HEADLINE}}

@@ -13,6 +13,8 @@ DEFAULTS = {
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.session.timeZone": "UTC",
+    # columns are built by the hundred; their call sites are not recorded
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
