@@ -1,14 +1,20 @@
 """Chat formatting: a small sandboxed template language compiled to closures, with generation markers.
 
-    template   := (text | "{{" expr "}}" | "{% for NAME in expr %}" template "{% endfor %}"
-                  | "{% if expr %}" template ["{% else %}" template] "{% endif %}"
-                  | "{% generation %}" template "{% endgeneration %}")*
-    expr       := and-expr ("or" and-expr)*;  and-expr := not-expr ("and" not-expr)*;  not-expr := ["not"] test
-    test       := sum (("==" | "!=") sum)?;  sum := piped ("+" piped)*;  piped := atom ("|" FILTER)*
-    atom       := 'text' | "text" | NAME ("." NAME)* | "(" expr ")"
-
-Names reach only the values given to render and the keys of mappings among them; there are no calls, no
-Python attributes and no writes. Filters are escape, trim, upper and lower. Output inside a generation
+    template   := (text | "{{" expr "}}" | "{#" comment "#}" | "{% for NAME in expr %}" template "{% endfor %}"
+                  | "{% if expr %}" template ("{% elif expr %}" template)* ["{% else %}" template] "{% endif %}"
+                  | "{% set NAME = expr %}" | "{% generation %}" template "{% endgeneration %}")*
+    expr       := or-expr ["if" or-expr ["else" expr]];  or-expr := and-expr ("or" and-expr)*
+    and-expr   := not-expr ("and" not-expr)*;  not-expr := ["not"] test
+    test       := sum [("==" | "!=" | ["not"] "in") sum | "is" ["not"] ("defined" | "none")]
+    sum        := piped (("+" | "~") piped)*;  piped := item ("|" FILTER)*
+    item       := atom ("." NAME | "[" expr "]" | "[" [expr] ":" [expr] "]")*
+    atom       := 'text' | "text" | INTEGER | true | false | none | NAME | "(" expr ")"
+
+Names reach only the values given to render, what the template set, and the keys of mappings and places of lists
+among them; there are no calls and no Python attributes. What is missing is none. A set inside a loop ends with
+that turn of the loop, which also has loop.index, index0, first, last and length. "+" adds two integers and joins
+anything else as texts, "~" always joins. Filters are escape, trim, upper, lower and length. A hyphen inside a
+tag's braces takes the white space on that side of the tag; otherwise it all stays. Output inside a generation
 block is under the loss mask.
 
 Control strings start with "<|". In texts, escape puts a backslash between "<" and "|" after those that
@@ -44,15 +50,20 @@ def unescape(text: str) -> str:
 FILTERS: dict[str, Callable[[str], str]] = {"escape": escape, "trim": str.strip, "upper": str.upper, "lower": str.lower}
 
 
+def _length(x: object) -> int:
+    return len(x) if isinstance(x, (str, list, tuple, dict)) else 0
+
+
 class TemplateError(ValueError):
     pass
 
 
 # --- syntax tree: tuples whose first item names the node ---
 
-_PARTS = re.compile(r"\{\{(.*?)\}\}|\{%(.*?)%\}", re.S)
-_TOKEN = re.compile(r"""\s*(?:('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|([A-Za-z]\w*)|(==|!=|[+|.()]))""")
-_RESERVED = {"for", "in", "if", "else", "endfor", "endif", "generation", "endgeneration", "and", "or", "not"}
+_PARTS = re.compile(r"\{\{(-?)(?P<show>.*?)(-?)\}\}|\{%(-?)(?P<tag>.*?)(-?)%\}|\{#(-?).*?(-?)#\}", re.S)
+_TOKEN = re.compile(r"""\s*(?:('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(-?\d+)|([A-Za-z]\w*)|(==|!=|[+~|.()\[\]:]))""")
+_RESERVED = {"for", "in", "if", "elif", "else", "endfor", "endif", "set", "generation", "endgeneration", "and", "or", "not", "is"}
+_CONSTANTS = {"true": True, "false": False, "none": None, "True": True, "False": False, "None": None}
 
 
 class _Expr:
@@ -64,7 +75,7 @@ class _Expr:
             m = _TOKEN.match(source, at)
             if not m:
                 raise TemplateError(f"unexpected {source[at:]!r}")
-            self.tokens.append(("text", re.sub(r"\\(.)", lambda e: {"n": "\n", "t": "\t"}.get(e[1], e[1]), m[1][1:-1])) if m[1] else ("name", m[2]) if m[2] else ("op", m[3]))
+            self.tokens.append(("text", re.sub(r"\\(.)", lambda e: {"n": "\n", "t": "\t"}.get(e[1], e[1]), m[1][1:-1])) if m[1] else ("int", int(m[2])) if m[2] else ("name", m[3]) if m[3] else ("op", m[4]))
             at = m.end()
         self.at = 0
 
@@ -75,11 +86,22 @@ class _Expr:
         return None
 
     def whole(self) -> tuple:
-        node = self.chain("or")
+        node = self.choice()
         if self.at < len(self.tokens):
             raise TemplateError(f"unexpected {self.tokens[self.at][1]!r}")
         return node
 
+    def need(self, op: str) -> None:
+        if not self.take("op", op):
+            raise TemplateError(f"missing {op}")
+
+    def choice(self) -> tuple:
+        node = self.chain("or")
+        if self.take("name", "if"):
+            test = self.chain("or")
+            node = ("choice", test, node, self.choice() if self.take("name", "else") else ("const", None))
+        return node
+
     def chain(self, word: str) -> tuple:
         part = (lambda: self.chain("and")) if word == "or" else self.negation
         node = part()
@@ -95,56 +117,103 @@ class _Expr:
         for op in ("==", "!="):
             if self.take("op", op):
                 return (op, left, self.sum())
+        if self.tokens[self.at : self.at + 2] == [("name", "not"), ("name", "in")]:
+            self.at += 2
+            return ("not", ("in", left, self.sum()))
+        if self.take("name", "in"):
+            return ("in", left, self.sum())
+        if self.take("name", "is"):
+            negated, word = bool(self.take("name", "not")), self.take("name")
+            if word not in ("defined", "none"):
+                raise TemplateError(f"unknown test {word!r}")
+            return ("not", ("none", left)) if negated == (word == "none") else ("none", left)
         return left
 
     def sum(self) -> tuple:
         node = self.piped()
-        while self.take("op", "+"):
-            node = ("+", node, self.piped())
+        while op := self.take("op", "+") or self.take("op", "~"):
+            node = (op, node, self.piped())
         return node
 
     def piped(self) -> tuple:
-        node = self.atom()
+        node = self.item()
         while self.take("op", "|"):
             name = self.take("name")
-            if name not in FILTERS:
+            if name not in FILTERS and name != "length":
                 raise TemplateError(f"unknown filter {name!r}")
-            node = ("filter", name, node)
+            node = ("length", node) if name == "length" else ("filter", name, node)
         return node
 
+    def item(self) -> tuple:
+        node = self.atom()
+        while True:
+            if self.take("op", "."):
+                key = self.take("name")
+                if key is None:
+                    raise TemplateError("name expected after .")
+                node = _under(node, ("const", key))
+            elif self.take("op", "["):
+                low = ("const", None) if self.tokens[self.at : self.at + 1] == [("op", ":")] else self.choice()
+                if self.take("op", ":"):
+                    node = ("slice", node, low, ("const", None) if self.tokens[self.at : self.at + 1] == [("op", "]")] else self.choice())
+                else:
+                    node = _under(node, low)
+                self.need("]")
+            else:
+                return node
+
     def atom(self) -> tuple:
-        if (text := self.take("text")) is not None:
-            return ("const", text)
+        for kind in ("text", "int"):
+            if (value := self.take(kind)) is not None:
+                return ("const", value)
         if self.take("op", "("):
-            node = self.chain("or")
-            if not self.take("op", ")"):
-                raise TemplateError("missing )")
+            node = self.choice()
+            self.need(")")
             return node
         name = self.take("name")
         if name is None or name in _RESERVED:
             raise TemplateError("expression expected")
-        path = [name]
-        while self.take("op", "."):
-            key = self.take("name")
-            if key is None:
-                raise TemplateError("name expected after .")
-            path.append(key)
-        return ("path", tuple(path))
+        return ("const", _CONSTANTS[name]) if name in _CONSTANTS else ("path", (name,))
+
+
+def _under(node: tuple, key: tuple) -> tuple:
+    """What a value holds under a key; texts under names make one path."""
+    if node[0] == "path" and key[0] == "const" and isinstance(key[1], str):
+        return ("path", (*node[1], key[1]))
+    return ("item", node, key)
 
 
 def parse(source: str) -> tuple:
     """Syntax tree of a template: ("block", node, ...)."""
     parts: list[tuple] = []
-    at = 0
+    at, tight = 0, False
+
+    def literal(text: str, before: bool) -> None:
+        text = text.lstrip() if tight else text
+        if text := text.rstrip() if before else text:
+            parts.append(("literal", text))
+
     for m in _PARTS.finditer(source):
-        if m.start() > at:
-            parts.append(("literal", source[at : m.start()]))
-        parts.append(("show", m[1]) if m[1] is not None else ("tag", m[2].strip()))
-        at = m.end()
-    if at < len(source):
-        parts.append(("literal", source[at:]))
+        hyphens = [x for x in m.group(1, 3, 4, 6, 7, 8) if x is not None]
+        literal(source[at : m.start()], bool(hyphens[0]))
+        if m["show"] is not None:
+            parts.append(("show", m["show"]))
+        elif m["tag"] is not None:
+            parts.append(("tag", m["tag"].strip()))
+        at, tight = m.end(), bool(hyphens[1])
+    literal(source[at:], False)
     position = 0
 
+    def name(word: str) -> str:
+        if word in _RESERVED or word in _CONSTANTS:
+            raise TemplateError(f"{word} is reserved")
+        return word
+
+    def branch(test: str) -> tuple:
+        condition = _Expr(test).whole()
+        yes, end = block("elif", "else", "endif")
+        return ("if", condition, yes, block("endif")[0] if end == "else" else ("block", branch(end[4:])) if end != "endif" else ("block",))
+
     def block(*ends: str) -> tuple[tuple, str]:
         nonlocal position
         nodes: list[tuple] = []
@@ -155,17 +224,15 @@ def parse(source: str) -> tuple:
                 nodes.append(("out", ("const", value)))
             elif kind == "show":
                 nodes.append(("out", _Expr(value).whole()))
-            elif value in ends:
+            elif value in ends or ("elif" in ends and re.match(r"elif\b", value)):
                 return ("block", *nodes), value
             elif m := re.fullmatch(r"for\s+([A-Za-z]\w*)\s+in\s+(.+)", value, re.S):
-                if m[1] in _RESERVED:
-                    raise TemplateError(f"{m[1]} is reserved")
                 over = _Expr(m[2]).whole()
-                nodes.append(("for", m[1], over, block("endfor")[0]))
-            elif m := re.fullmatch(r"if\s+(.+)", value, re.S):
-                test = _Expr(m[1]).whole()
-                yes, end = block("else", "endif")
-                nodes.append(("if", test, yes, block("endif")[0] if end == "else" else ("block",)))
+                nodes.append(("for", name(m[1]), over, block("endfor")[0]))
+            elif m := re.fullmatch(r"if\b(.*)", value, re.S):
+                nodes.append(branch(m[1]))
+            elif m := re.fullmatch(r"set\s+([A-Za-z]\w*)\s*=(?!=)(.+)", value, re.S):
+                nodes.append(("set", name(m[1]), _Expr(m[2]).whole()))
             elif value == "generation":
                 nodes.append(("generation", block("endgeneration")[0]))
             else:
@@ -196,7 +263,7 @@ def fold(node: tuple) -> tuple:
     node = (kind, *(fold(x) if isinstance(x, tuple) else x for x in node[1:]))
     if kind == "if" and node[1][0] == "const":
         return node[2] if node[1][1] else node[3]
-    if kind not in ("out", "for", "if", "generation") and all(x[0] == "const" for x in node[1:] if isinstance(x, tuple)):
+    if kind not in ("out", "for", "if", "set", "generation") and all(x[0] == "const" for x in node[1:] if isinstance(x, tuple)):
         return ("const", _value(node)({}))
     return node
 
@@ -224,10 +291,43 @@ def _value(node: tuple) -> Callable[[dict], object]:
         f, inner = FILTERS[node[1]], _value(node[2])
         return lambda env: f(_text(inner(env)))
     parts = [_value(x) for x in node[1:]]
-    if kind == "not":
-        return lambda env: not parts[0](env)
+    if kind == "choice":
+        return lambda env: parts[1 if parts[0](env) else 2](env)
+    if kind == "slice":
+        return lambda env: _slice(*(part(env) for part in parts))
+    one = {"not": lambda x: not x, "none": lambda x: x is None, "length": _length}
+    if kind in one:
+        return lambda env: one[kind](parts[0](env))
     a, b = parts
-    return {"+": lambda env: _text(a(env)) + _text(b(env)), "==": lambda env: a(env) == b(env), "!=": lambda env: a(env) != b(env), "and": lambda env: a(env) and b(env), "or": lambda env: a(env) or b(env)}[kind]
+    if kind in ("and", "or"):
+        return (lambda env: a(env) and b(env)) if kind == "and" else (lambda env: a(env) or b(env))
+    two = {"+": _plus, "~": lambda x, y: _text(x) + _text(y), "==": lambda x, y: x == y, "!=": lambda x, y: x != y, "in": _holds, "item": _item}[kind]
+    return lambda env: two(a(env), b(env))
+
+
+def _whole(x: object) -> bool:
+    return isinstance(x, int) and not isinstance(x, bool)
+
+
+def _plus(x: object, y: object) -> object:
+    return x + y if _whole(x) and _whole(y) else _text(x) + _text(y)
+
+
+def _holds(x: object, y: object) -> bool:
+    """Whether y, a text, list or mapping, holds x."""
+    if isinstance(y, str):
+        return isinstance(x, str) and x in y
+    return x in list(y) if isinstance(y, (list, tuple, dict)) else False
+
+
+def _item(x: object, key: object) -> object:
+    if isinstance(x, dict):
+        return x.get(key) if isinstance(key, str) or _whole(key) else None
+    return x[key] if isinstance(x, (list, tuple, str)) and _whole(key) and -len(x) <= key < len(x) else None
+
+
+def _slice(x: object, low: object, high: object) -> object:
+    return x[low if _whole(low) else None : high if _whole(high) else None] if isinstance(x, (list, tuple, str)) else None
 
 
 Emit = Callable[[str, bool], None]
@@ -243,6 +343,9 @@ def _writer(node: tuple) -> Callable[[dict, Emit, bool], None]:
     if kind == "if":
         test, yes, no = _value(node[1]), _writer(node[2]), _writer(node[3])
         return lambda env, emit, masked: (yes if test(env) else no)(env, emit, masked)
+    if kind == "set":
+        new = _value(node[2])
+        return lambda env, emit, masked, name=node[1]: env.update({name: new(env)})
     if kind == "generation":
         body = _writer(node[1])
         return lambda env, emit, masked: body(env, emit, True)
@@ -250,8 +353,11 @@ def _writer(node: tuple) -> Callable[[dict, Emit, bool], None]:
         name, over, body = node[1], _value(node[2]), _writer(node[3])
 
         def loop(env: dict, emit: Emit, masked: bool) -> None:
-            for x in over(env) or ():
-                body(env | {name: x}, emit, masked)
+            xs = over(env)
+            xs = list(xs) if isinstance(xs, (list, tuple, str, dict)) else []
+            for k, x in enumerate(xs):
+                place = {"index": k + 1, "index0": k, "first": k == 0, "last": k + 1 == len(xs), "length": len(xs)}
+                body(env | {"loop": place, name: x}, emit, masked)
 
         return loop
     parts = [_writer(x) for x in node[1:]]
@@ -263,11 +369,11 @@ def _writer(node: tuple) -> Callable[[dict, Emit, bool], None]:
     return block
 
 
-def compile_template(source: str) -> Callable[[Iterable[dict]], tuple[str, list[tuple[int, int]]]]:
-    """A function from messages to the formatted text and the spans (code points) under the loss mask."""
+def compile_template(source: str) -> Callable[..., tuple[str, list[tuple[int, int]]]]:
+    """A function from messages, and other values by name, to the formatted text and the spans (code points) under the loss mask."""
     write = _writer(fold(parse(source)))
 
-    def render(messages: Iterable[dict]) -> tuple[str, list[tuple[int, int]]]:
+    def render(messages: Iterable[dict], **values: object) -> tuple[str, list[tuple[int, int]]]:
         out: list[str] = []
         spans: list[tuple[int, int]] = []
         length = 0
@@ -279,7 +385,7 @@ def compile_template(source: str) -> Callable[[Iterable[dict]], tuple[str, list[
             out.append(piece)
             length += len(piece)
 
-        write({"messages": messages}, emit, False)
+        write(values | {"messages": list(messages)}, emit, False)
         return "".join(out), spans
 
     return render
@@ -290,12 +396,14 @@ def compile_template(source: str) -> Callable[[Iterable[dict]], tuple[str, list[
 FORMATTED = "id long, formatted string, mask array<struct<start:long,end:long>>"
 
 
-def format_conversations(rows: DataFrame, template: str = CHATML, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def format_conversations(rows: DataFrame, template: str = CHATML, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", values: dict | None = None) -> DataFrame:
     """(id, formatted, mask): one row per conversation, its turns ordered by turn, then role, then text.
 
     Null roles and texts are empty; null turns come first; rows without an id are one conversation.
     Repeated rows are turns of their own. A partition is sorted and streamed, so that a task holds one
-    conversation at a time, as the result's row does. No rows give no rows.
+    conversation at a time, as the result's row does. No rows give no rows. A message has the keys role and
+    text, and content for text as published templates name it; `values`, such as add_generation_prompt or
+    bos_token, are the template's other names.
     """
     compile_template(template)  # errors show here rather than in a task
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -315,13 +423,13 @@ def format_conversations(rows: DataFrame, template: str = CHATML, id_col: str =
             for conv, role, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if conv != now:
                     if turns:
-                        done.append((now, *render(turns)))
+                        done.append((now, *render(turns, **(values or {}))))
                         if len(done) >= 512:
                             yield out()
                     now, turns = conv, []
-                turns.append({"role": role, "text": text})
+                turns.append({"role": role, "text": text, "content": text})
         if turns:
-            done.append((now, *render(turns)))
+            done.append((now, *render(turns, **(values or {}))))
         if done:
             yield out()
 
