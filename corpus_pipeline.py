@@ -23,7 +23,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates, that with the smallest id; README says why not by fingerprints. Rows without an id stay."""
+    """One row of each group of near-duplicates, that with the smallest id: SimHash with an exact check, then an exact search for what fingerprints miss. Rows without an id stay."""
     return overlap.keep_one(spark, docs)
 
 

@@ -1,13 +1,16 @@
-"""Near-duplicates by the exact similarity of word shingles: every pair at SIMILARITY or above is found, no other is linked.
-
-A document is the set of its shingles' 64-bit hashes. The search loses no pair, by three bounds on sets x
-and y whose Jaccard similarity is at least 4/5, so that they have at least 4/5 of the larger in common:
-
-* in any order of the hashes, the first n - ceil(4n/5) + l of each have l in common. In the order of the
-  hashes themselves, sets too few of whose first hashes occur in others are left out;
-* among the sets left, hashes are ordered from rare to common; sets that share one of the first
-  n - ceil(4n/5) + 1 are put together, and so on along chains;
-* the sets put together are compared in full.
+"""Near-duplicates by SimHash with an exact check, and an exact search for what fingerprints miss: every pair of texts whose
+shingle sets have SIMILARITY or above is linked, no other.
+
+A document is the set of its shingles' 64-bit hashes. Sets x and y whose Jaccard similarity is at least 4/5
+have at least 4/5 of the larger in common; so, in any order of the hashes, the first n - ceil(4n/5) + l of
+each have l in common. In the order of the hashes themselves, sets too few of whose first hashes occur in
+others are left out. For the others:
+
+* the texts that simhash.linked puts together, with its own shingles and radius, are compared in full; the
+  links that pass make families;
+* fingerprints miss pairs. Hashes are ordered from rare to common; sets that share one of the first
+  n - ceil(4n/5) + 1 are put together, and so on along chains. What so comes together within one family
+  needs nothing more, all else is compared in full.
 """
 
 from __future__ import annotations
@@ -21,11 +24,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from granary.llm import simhash
 from granary.llm._common import discard, fresh, materialise
 from granary.llm._components import HUBS, components
 
 #: The least similarity, as a fraction. What is put together is compared in blocks of so many hashes, about.
 SIMILARITY, BLOCK_HASHES = (4, 5), 1 << 20
+#: Words of a fingerprint's shingles, as in op1_simhash.
+PRINT_NGRAM = 4
 
 
 def shingle_set(text: bytes | None, ngram: int) -> np.ndarray:
@@ -46,20 +52,22 @@ def _text_hash(text_col: str) -> Column:
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, ngram: int) -> DataFrame:
-    """(id, text_hash, k0, k1, hashes): k0 and k1 are equal for equal sets only."""
+    """(id, text_hash, k0, k1, f0, hashes): k0 and k1 are equal for equal sets only; f0 is the text's fingerprint as in op1_simhash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                sets = [shingle_set(t.as_py(), ngram) for t in part.column(2)]
+                texts = part.column(2).to_pylist()
+                sets = [shingle_set(t, ngram) for t in texts]
+                prints = np.array([simhash.fingerprint(t, PRINT_NGRAM, 1)[0] for t in texts], np.uint64).view(np.int64)
                 keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s) for s in sets), np.int64).reshape(-1, 2)
                 places = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
                 hashes = pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(np.ascontiguousarray(keys[:, j])) for j in (0, 1)), hashes], names=["id", "text_hash", "k0", "k1", "hashes"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(np.ascontiguousarray(keys[:, j])) for j in (0, 1)), pa.array(prints), hashes], names=["id", "text_hash", "k0", "k1", "f0", "hashes"])
 
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), _text_hash(text_col).alias("text_hash"), F.col(f"`{text_col}`").cast("binary").alias("text"))
-    return source.mapInArrow(run, T.StructType([*(T.StructField(x, T.LongType()) for x in ("id", "text_hash", "k0", "k1")), T.StructField("hashes", T.ArrayType(T.LongType()))]))
+    return source.mapInArrow(run, T.StructType([*(T.StructField(x, T.LongType()) for x in ("id", "text_hash", "k0", "k1", "f0")), T.StructField("hashes", T.ArrayType(T.LongType()))]))
 
 
 def _share(n: Column) -> Column:
@@ -99,7 +107,10 @@ def _left(spark: SparkSession, rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, left: DataFrame) -> DataFrame:
-    """(node, component) over sets (row, hashes): those with SIMILARITY are in one component, which may hold others as well."""
+    """(node, component) over sets (row, hashes): those with SIMILARITY are in one component, which may hold others as well.
+
+    Nothing that fingerprints decide enters here, so that what they miss is not missed.
+    """
     each = left.select("row", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
     counts = materialise(spark, each.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "counts")
     shared = _with(each, counts).groupBy("row").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("c", "h"))).alias("s"))
@@ -162,36 +173,59 @@ def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links(*held)
 
 
-def links(spark: SparkSession, left: DataFrame) -> DataFrame:
-    """Edges (u, v) whose components are those of all pairs of sets (row, hashes) with SIMILARITY; rows and sets unique.
+def links(spark: SparkSession, left: DataFrame, groups: DataFrame) -> DataFrame:
+    """Edges (u, v) whose components are those of all pairs of sets (row, hashes) with SIMILARITY in one of groups (component, row).
 
-    A component of candidates with over BLOCK_HASHES hashes is dealt out as pairs of hashed blocks to as many tasks.
+    Rows and sets are unique. A group with over BLOCK_HASHES hashes is dealt out as pairs of hashed blocks to as many tasks.
     """
-    sized = materialise(spark, left.join(_candidates(spark, left), F.col("row") == F.col("node")).select("component", "row", "hashes"), "sized")
+    sized = left.join(groups.withColumnRenamed("row", "of"), F.col("row") == F.col("of")).select("component", "row", "hashes")
+    sized = materialise(spark, sized, "sized")
     total = sized.groupBy("component").agg(F.ceil(F.sum(F.size("hashes")) / BLOCK_HASHES).alias("blocks"))
-    # few components are large: they are broadcast, at most one for each BLOCK_HASHES of the input
+    # few groups are large: they are broadcast, at most one for each BLOCK_HASHES of the input
     large = F.broadcast(total.where("blocks > 1").withColumnRenamed("component", "of"))
     both = sized.join(large, F.col("component") == F.col("of"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
     own = F.pmod(F.xxhash64("row"), F.col("blocks"))
     dealt = both.select("component", own.alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o"), "row", "hashes")
     dealt = dealt.select("component", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "row", "hashes")
-    return dealt.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(_link_groups, "u long, v long")
+    dealt = dealt.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(_link_groups, "u long, v long")
+    found = materialise(spark, dealt, "links")
+    discard(spark, sized)
+    return found
+
+
+def _alike(spark: SparkSession, left: DataFrame, prints: DataFrame) -> DataFrame:
+    """(component, row) over the sets of left whose fingerprints (id, f0), chains of simhash's links connect; each with another one at least."""
+    near = simhash.linked(spark, prints).select(F.col("component_id").alias("h"), "id")
+    near = materialise(spark, near.join(left.select("row"), F.col("id") == F.col("row"), "left_semi").select("h", F.col("id").alias("row")), "near")
+    several = materialise(spark, near.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "several")
+    return _with(near, several).select(F.col("h").alias("component"), "row")
+
+
+def _missed(spark: SparkSession, left: DataFrame, families: DataFrame) -> DataFrame:
+    """(component, row) of the candidates in left, without components that lie within one of families (node, component)."""
+    known = families.select(F.col("node").alias("of"), F.col("component").alias("family"))
+    put = _candidates(spark, left).select(F.col("component").alias("h"), F.col("node").alias("row"))
+    put = materialise(spark, put.join(known, F.col("row") == F.col("of"), "left").select("h", "row", F.coalesce("family", "row").alias("family")), "put")
+    still = put.groupBy("h").agg(F.count("*").alias("c"), F.min("family").alias("first"), F.max("family").alias("last")).where("first < last").select("h", "c")
+    return _with(put.select("h", "row"), materialise(spark, still, "still")).select(F.col("h").alias("component"), "row")
 
 
 def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5) -> DataFrame:
     """(id, text_hash, component_id): one row per row of docs; component_id is the smallest id reachable by links, own id included.
 
-    Equal sets become one node first. Null texts and texts without words have the empty set, equal to
+    Equal sets become one node first, with the fingerprint of its row of the smallest id. Null texts and texts without words have the empty set, equal to
     itself only. A row with a null id takes the component of its set and connects nothing; it is null if no
     row with an id has that set. Different texts of one id are documents of their own. No rows give no rows.
     """
     rows = materialise(spark, shingle_sets(docs, id_col, text_col, ngram).withColumn("row", F.monotonically_increasing_id()), "sets")
-    nodes = rows.where("id is not null").groupBy("k0", "k1").agg(F.min(F.struct("id", "row")).alias("x"))
-    nodes = materialise(spark, nodes.select(F.col("k0").alias("n0"), F.col("k1").alias("n1"), "x.id", "x.row"), "nodes")
+    nodes = rows.where("id is not null").groupBy("k0", "k1").agg(F.min(F.struct("id", "row", "f0")).alias("x"))
+    nodes = materialise(spark, nodes.select(F.col("k0").alias("n0"), F.col("k1").alias("n1"), "x.id", "x.row", "x.f0"), "nodes")
     left = _left(spark, rows, nodes)
     keys = materialise(spark, rows.select("id", "text_hash", "k0", "k1"), "keys")
     discard(spark, rows)
-    found = components(spark, links(spark, left))
+    alike = links(spark, left, _alike(spark, left, nodes.select(F.col("row").alias("id"), "f0")))
+    found = components(spark, alike.union(links(spark, left, _missed(spark, left, components(spark, alike)))))
+    discard(spark, left)
     of = nodes.join(found, F.col("row") == F.col("node"), "left").withColumn("component", F.coalesce("component", "row"))
     least = of.groupBy("component").agg(F.min("id").alias("component_id")).withColumnRenamed("component", "c")
     of = of.join(least, F.col("component") == F.col("c")).select("n0", "n1", "component_id")

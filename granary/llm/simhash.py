@@ -197,8 +197,12 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     component of its fingerprint and connects nothing; it is null if no row with an id has that
     fingerprint. Rows that repeat an id each get a row. No rows give no rows.
     """
+    return linked(spark, materialise(spark, fingerprints(docs, id_col, text_col, ngram, bits), "fingerprints"), bits, radius, groups, reach)
+
+
+def linked(spark: SparkSession, rows: DataFrame, bits: int = 64, radius: int = 4, groups: int = 2, reach: int = 1) -> DataFrame:
+    """(id, f0, ..., component_id): what classes() says, for written rows (id, f0, ...) whose fingerprints are there."""
     names = [f"f{j}" for j in range(bits // 64)]
-    rows = materialise(spark, fingerprints(docs, id_col, text_col, ngram, bits), "fingerprints")
     nodes = materialise(spark, rows.where("id is not null").groupBy(*names).agg(F.min("id").alias("id")), "nodes")
     found = components(spark, near_links(spark, nodes, bits, radius, groups, reach))
     of = nodes.join(found, F.col("id") == F.col("node"), "left").select(*(F.col(x).alias(f"k{x}") for x in names), F.coalesce("component", "id").alias("component_id"))

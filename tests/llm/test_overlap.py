@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from granary.llm import overlap
+from granary.llm import overlap, simhash
 
 
 def shingles(text):
@@ -66,3 +66,50 @@ def test_ids_and_columns(spark):
     assert kept.columns == docs.columns
     assert sorted(((x["doc_id"], x["text"]) for x in kept.collect()), key=str) == sorted([data[1], data[2], data[3], data[4], data[5], data[6]], key=str)
     assert overlap.classes(spark, docs.limit(0)).count() == 0
+
+
+def bits(a, b):
+    one, other = (simhash.fingerprint((t or "").encode(), 4, 1)[0] for t in (a, b))
+    return (one ^ other).bit_count()
+
+
+def test_fingerprints_link_what_they_reach(spark, monkeypatch):
+    """Without the exact search, the stage still links the pairs that SimHash puts together and the exact check passes, and no other."""
+    monkeypatch.setattr(overlap, "_candidates", lambda spark, left: spark.createDataFrame([], "node long, component long"))
+    docs = rows()
+    sets = {}
+    for i, t in docs:
+        sets.setdefault(shingles(t), (i, t))
+    alike = {i: {i} for i, _ in sets.values()}
+    for i, t in sets.values():
+        for j, x in sets.values():
+            if alike[i] is not alike[j] and bits(t, x) <= 4:
+                alike[i] |= alike[j]
+                for k in alike[j]:
+                    alike[k] = alike[i]
+    comp = {i: i for i, _ in sets.values()}
+    changed = True
+    while changed:
+        changed = False
+        for a, (i, _) in sets.items():
+            for b, (j, _) in sets.items():
+                if comp[j] < comp[i] and alike[i] is alike[j] and near(a, b):
+                    comp[i], changed = comp[j], True
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    assert {x["doc_id"] for x in kept.collect()} == {i for i, c in comp.items() if i == c}
+    assert len(set(comp.values())) < len(comp) - 10
+
+
+def test_equal_fingerprints_alone_link_nothing(spark):
+    common = "buy it now while the stock lasts " * 60
+    docs = [(k, common + " ".join(f"d{k}x{j}" for j in range(25))) for k in range(3)]
+    assert bits(docs[0][1], docs[1][1]) <= 4 and not near(shingles(docs[0][1]), shingles(docs[1][1]))
+    assert corpus_pipeline.near_dedup(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").count() == 3
+
+
+def test_only_what_fingerprints_miss_is_searched(spark):
+    """Sets 1, 2 and 3, 4 share hashes; that 1 and 2 are of one family is known, and 5 shares nothing."""
+    left = [(1, list(range(20))), (2, list(range(19))), (3, list(range(50, 70))), (4, list(range(50, 69))), (5, list(range(90, 99)))]
+    left = spark.createDataFrame(left, "row long, hashes array<long>")
+    families = spark.createDataFrame([(1, 1), (2, 1), (3, 3)], "node long, component long")
+    assert sorted(overlap._missed(spark, left, families).collect()) == [(3, 3), (3, 4)]
